@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartulary.llm import bpe_tree, gif_media, language_profiles, ngram_join, piece_counts, quartile_digest, secret_scan, source_mix, url_rules
-from cartulary.llm.common import table
+from cartulary.llm import bpe_tree, gif_media, language_profiles, ngram_join, piece_counts, quartile_digest, secret_scan, source_mix, token_files, url_rules
+from cartulary.llm.common import shared_folder, stored, table
 
 #: Training leaves out the documents whose crc32 of the id has this remainder by FOLDS.
 FOLDS, HELD_OUT = 4, 2
 TOKEN_LIMIT = 4096
+#: The id that closes each document in token files.
+END_ID = 2
 #: Shares of the mix: a source's weight, 1 where it has none here.
 MIX_WEIGHTS, MIX_SEED = {"src0": 4.0}, "mix"
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -48,6 +52,14 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.replicate(table(spark, sf_dir, "documents"), MIX_WEIGHTS, seed=MIX_SEED)
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, END_ID)
+    # decoded once: the table serves the offsets and the rows
+    rows, _ = stored(token_files.read(spark, folder), "token-rows")
+    return token_files.placed(rows).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op8_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quartile_digest.compare_neighbours(table(spark, sf_dir, "documents"))
 
@@ -60,7 +72,7 @@ def op10_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), TOKEN_LIMIT)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_profiles, op2_secret_scan, op3_ngram_join, op4_bpe_tree, op5_gif_media, op6_source_mix, op8_quartile_digest, op9_url_rules, op10_piece_counts)}
+QUERIES = {f.__name__: f for f in (op1_language_profiles, op2_secret_scan, op3_ngram_join, op4_bpe_tree, op5_gif_media, op6_source_mix, op7_token_files, op8_quartile_digest, op9_url_rules, op10_piece_counts)}
 
 _UPPER, _LOWER = url_rules.UPPER, url_rules.LOWER
 
