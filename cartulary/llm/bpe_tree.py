@@ -149,7 +149,10 @@ class Codec(dict):
         return decode_ids(np.frombuffer(packed, "<u4").tolist(), self.tokens)
 
 
-codec = lru_cache(maxsize=2)(Codec)
+@lru_cache(maxsize=2)
+def codec(path: str, pattern: str) -> Codec:
+    """One to a worker, with what it remembers."""
+    return Codec(path, pattern)
 
 
 def _coder(path: str, pattern: str, as_array: bool):

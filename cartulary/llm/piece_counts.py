@@ -87,7 +87,10 @@ class Counter(dict):
         return sum(map(self.__getitem__, self.cut.findall(marked) if self.cut else [marked]))
 
 
-counter = lru_cache(maxsize=2)(Counter)
+@lru_cache(maxsize=2)
+def counter(path: str) -> Counter:
+    """One to a worker, with what it remembers."""
+    return Counter(path)
 
 
 def _counts(path: str):

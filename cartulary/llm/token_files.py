@@ -310,7 +310,10 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, self.pieces(text)))
 
 
-encoder = lru_cache(maxsize=2)(Encoder)
+@lru_cache(maxsize=2)
+def encoder(path: str, pattern: str) -> Encoder:
+    """One to a worker, with what it remembers."""
+    return Encoder(path, pattern)
 
 
 def write(df: DataFrame, folder: str, tokenizer: str, pattern: str, end_id: int, ident: str = "doc_id", text: str = "text") -> None:
