@@ -1 +1 @@
-"""Document collections as a queryable knowledge graph, on Spark."""
+"""Column functions, and the few Python ones."""

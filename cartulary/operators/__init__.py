@@ -1 +1 @@
-"""Document collections as a queryable knowledge graph, on Spark."""
+"""Operators over the graph tables: DataFrame in, DataFrame out."""

@@ -1 +1 @@
-"""Document collections as a queryable knowledge graph, on Spark."""
+"""Fixtures, pipelines and the driver's queries with their SQL."""

@@ -1 +1 @@
-"""Document collections as a queryable knowledge graph, on Spark."""
+"""Scans and sinks: pages, outlines, graph files, recorded responses."""

@@ -1 +1 @@
-"""Document collections as a queryable knowledge graph, on Spark."""
+"""Keyed event operators, for batches and for Structured Streaming."""
