@@ -32,6 +32,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
@@ -49,6 +50,8 @@ REMEMBERED = 300_000
 CLASSES = 32
 #: Bits of the filter of ids, at most.
 FILTER_BITS = 1 << 26
+#: Digests with ids (under 100 bytes each) up to which every executor gets them; more are joined by a shuffle.
+MOST_SENT = 100_000
 MULTIPLIERS = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93
 
 
@@ -222,7 +225,9 @@ def _select_prefixes(over: int, under: int, names: list[str]):
             position = np.arange(len(token)) - first[owner]
             chosen = position < quota[owner]
             token, owner, position = token[chosen], owner[chosen], position[chosen]
-            out = [pa.array(token.astype(np.int64)), pa.array(digests[owner].tolist(), pa.binary()), pa.array(size[owner]), pa.array(alone[owner]), pa.array(position + alone[owner]), *(pa.array(halves[owner, k]) for k in range(CLASSES // 2))]
+            # a set's classes stand in its first row alone
+            later = pa.array(np.concatenate([[False], owner[1:] == owner[:-1]]) if len(owner) else np.zeros(0, bool))
+            out = [pa.array(token.astype(np.int64)), pa.array(digests[owner].tolist(), pa.binary()), pa.array(size[owner]), pa.array(alone[owner]), pa.array(position + alone[owner]), *(pc.if_else(later, pa.scalar(None, pa.int64()), pa.array(halves[owner, k])) for k in range(CLASSES // 2))]
         return pa.table(out, names=names)
 
     return run
@@ -309,8 +314,11 @@ def components(df: DataFrame, n: int = 5, similarity: tuple[int, int] = (3, 4),
     classes = [f"c{k}" for k in range(CLASSES // 2)]
     names = ["token", "digest", "n", "alone", "position", *classes]
     picked = counted.groupBy("block").cogroup(documents.filter("place >= 0").select("block", "place", "n", "digest").groupBy("block")).applyInArrow(_select_prefixes(over, under, names), "token long, digest binary, n long, alone long, position long, " + ", ".join(f"{c} long" for c in classes))
-    postings, postings_at = stored(picked.dropDuplicates(["token", "digest"]), "postings")
+    picked, picked_at = stored(picked, "prefixes")
     discard(spark, packed_at)
+    # copies in other blocks give the same rows
+    postings, postings_at = stored(picked.select(*names[:5]).distinct(), "postings")
+    nodes_classes = picked.filter("c0 is not null").select("digest", *classes).dropDuplicates(["digest"])
 
     # the whole sets of the documents that have postings, each from its least id
     several = postings.select("digest").distinct()
@@ -326,8 +334,10 @@ def components(df: DataFrame, n: int = 5, similarity: tuple[int, int] = (3, 4),
     for r in filled.toLocalIterator():
         members[r["word"]] = r["value"] & 0xFFFFFFFFFFFFFFFF
     whole = hashed.mapInArrow(_sets(n, members, bits), StructType([StructField("ident", kind), StructField("digest", BinaryType()), StructField("shingles", ArrayType(LongType()))]))
-    whole = whole.filter("digest is not null").alias("w").join(chosen.alias("c"), F.col("w.digest").eqNullSafe(F.col("c.digest")) & F.col("w.ident").eqNullSafe(F.col("c.ident")), "left_semi")
-    sets, sets_at = stored(whole.dropDuplicates(["digest"]).select("digest", "shingles"), "sets")
+    sought = F.broadcast(chosen) if count <= MOST_SENT else chosen
+    whole = whole.filter("digest is not null").alias("w").join(sought.alias("c"), F.col("w.digest").eqNullSafe(F.col("c.digest")) & F.col("w.ident").eqNullSafe(F.col("c.ident")), "left_semi")
+    # a row that repeats id and text gives its set again, and with it links that are made distinct later
+    sets, sets_at = stored(whole.select("digest", "shingles"), "sets")
 
     # the most central set of each token against the token's others
     centre = F.max(F.struct((F.col("n") - F.col("alone")).alias("shared"), "digest", "n", "alone", "position"))
@@ -344,8 +354,11 @@ def components(df: DataFrame, n: int = 5, similarity: tuple[int, int] = (3, 4),
     joined, joined_at = stored(joined, "rooted")
     mixed = joined.groupBy("token").agg(F.max(F.struct((F.col("n") - F.col("alone")).alias("shared"), "digest", "root")).alias("hub"), F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most")
     mixed, mixed_at = stored(mixed.select(F.col("token"), F.col("hub.root").alias("main")), "mixed")
-    open_rows, open_at = stored(joined.join(mixed, "token"), "open")
-    x, y = open_rows.filter("root <> main").alias("x"), open_rows.alias("y")
+    open_rows = joined.join(mixed, "token")
+    # of the sets that are met again alone
+    open_rows, open_at = stored(open_rows, "open")
+    classed, classed_at = stored(open_rows.join(nodes_classes, "digest"), "classed")
+    x, y = classed.filter("root <> main").alias("x"), classed.alias("y")
     once = (F.col("y.root") == F.col("y.main")) | (F.col("x.digest") < F.col("y.digest"))
     rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & once & _may_link(over, under, "x", "y") & _suffixes_may(over, under, "x", "y")).select(*pair).distinct()
     rest, rest_at = stored(rest.join(spokes, ["a", "b"], "left_anti"), "rest")
@@ -359,7 +372,7 @@ def components(df: DataFrame, n: int = 5, similarity: tuple[int, int] = (3, 4),
     nodes, nodes_at = stored(least.join(final.select(F.col("node").alias("digest"), "root"), "digest", "left").select("digest", "ident", F.coalesce("root", "digest").alias("root")), "nodes")
     named = nodes.groupBy("root").agg(F.min("ident").alias("component_id"))
     names_of, names_at = stored(nodes.select("digest", "root").join(named, "root").select("digest", "component_id"), "components")
-    gone = [postings_at, chosen_at, sets_at, hubs_at, spokes_at, links_at, joined_at, mixed_at, open_at, rest_at, more_at, nodes_at, roots_at, final_at]
+    gone = [picked_at, classed_at, postings_at, chosen_at, sets_at, hubs_at, spokes_at, links_at, joined_at, mixed_at, open_at, rest_at, more_at, nodes_at, roots_at, final_at]
     discard(spark, *dict.fromkeys(gone))
     result = documents.join(names_of, "digest", "left")
     return result.select(F.col("ident").alias(ident), F.col("n").alias("n_shingles"), F.coalesce("component_id", "ident").alias("component_id"))
