@@ -44,7 +44,7 @@ def concepts_of(responses: DataFrame) -> DataFrame:
 def relations_of(responses: DataFrame) -> DataFrame:
     """Relations of responses, a bare array or an object with edges: doc_id, batch, ord, source, target, type, confidence, phrase."""
     text = repair("response")
-    listed = F.coalesce(F.from_json(text, f"array<{RELATION}>"), F.from_json(text, f"struct<edges:array<{RELATION}>>")["edges"])
+    listed = F.when(F.ltrim(text).startswith("["), F.from_json(text, f"array<{RELATION}>")).otherwise(F.from_json(text, f"struct<edges:array<{RELATION}>>")["edges"])
     each = responses.select("doc_id", "batch", F.posexplode(listed).alias("ord", "e")).filter("e.sourceLabel is not null and e.targetLabel is not null")
     return each.select("doc_id", "batch", "ord", F.col("e.sourceLabel").alias("source"), F.col("e.targetLabel").alias("target"), lenient(F.col("e.type"), EDGE_TYPES, "sameTopic").alias("type"), F.coalesce("e.confidence", F.lit(0.7)).alias("confidence"), F.col("e.linkingPhrase").alias("phrase"))
 
@@ -52,7 +52,7 @@ def relations_of(responses: DataFrame) -> DataFrame:
 def merges_of(responses: DataFrame) -> DataFrame:
     """Proposed merges; a response that can't be read gives none."""
     each = responses.select("doc_id", F.posexplode(F.from_json(repair("response"), MERGE)).alias("ord", "m"))
-    return each.select("doc_id", "ord", "m.*").withColumn("mergeType", F.coalesce("mergeType", F.lit("semanticEquivalent")))
+    return each.select("doc_id", "ord", "m.*").filter("labelA is not null and labelB is not null").withColumn("mergeType", F.coalesce("mergeType", F.lit("semanticEquivalent")))
 
 
 def answers_of(responses: DataFrame) -> DataFrame:

@@ -57,8 +57,8 @@ def duck(sql: str) -> str:
     return sql.format(**{t: t for t in TABLES})
 
 
-#: The texts as pages of 40 lines, and their lines that aren't blank, for DuckDB.
-DUCK_LINES = "SELECT concat('doc', doc_id) AS doc_id, CAST(n // 40 AS int) AS page, CAST(n % 40 AS int) AS line_no, line FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS n FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '\\r\\n|\\n|\\r') AS l FROM documents))"
+#: The texts as pages of four lines, and their lines that aren't blank, for DuckDB.
+DUCK_LINES = "SELECT concat('doc', doc_id) AS doc_id, CAST(n // 4 AS int) AS page, CAST(n % 4 AS int) AS line_no, line FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS n FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '\\r\\n|\\n|\\r') AS l FROM documents))"
 DUCK_PAGES = f"SELECT doc_id, page, string_agg(line, chr(10) ORDER BY line_no) AS text FROM ({DUCK_LINES}) GROUP BY ALL"
 DUCK_BLOCKS = f"SELECT doc_id, page, line_no, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS text FROM ({DUCK_LINES}) WHERE regexp_replace(line, '^\\s+|\\s+$', '', 'g') <> ''"
 
@@ -97,6 +97,6 @@ class Fixture:
 
     @property
     def pages(self) -> DataFrame:
-        """doc_id, page, text: 40 lines a page."""
+        """doc_id, page, text: four lines a page."""
         split = self.table("documents").select(F.concat(F.lit("doc"), "doc_id").alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\R")).alias("n", "line"))
-        return split.groupBy("doc_id", F.floor(F.col("n") / 40).cast("int").alias("page")).agg(ordered_join(F.col("n"), F.col("line"), "\n").alias("text"))
+        return split.groupBy("doc_id", F.floor(F.col("n") / 4).cast("int").alias("page")).agg(ordered_join(F.col("n"), F.col("line"), "\n").alias("text"))
