@@ -11,8 +11,8 @@ from cartulary.llm.common import stored, table
 from cartulary.llm.queries import MIX_SEED, MIX_WEIGHTS
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Cosines under this are those of unrelated vectors of 1024 places (three standard deviations are 0.094).
-LEAST_SCORE = 0.08
+#: Cosines under this are no likelier of a text in a language than of unrelated vectors of 1024 places (a standard deviation is 0.031).
+LEAST_SCORE = 0.03
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
