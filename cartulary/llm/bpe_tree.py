@@ -35,7 +35,7 @@ from cartulary.llm.common import map_texts
 #: Bytes up to which a half is encoded at once.
 LEAF = 8
 #: Pieces that each of a worker's two generations remembers, and the length up to which it does.
-REMEMBERED, LONGEST = 200_000, 48
+REMEMBERED, LONGEST = 150_000, 48
 #: Tokens whose bytes are joined at once in decoding.
 BLOCK = 2048
 #: Above all ranks.

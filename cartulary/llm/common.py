@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -12,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
-#: Rows that a Python worker turns into Python strings at once.
-ROWS = 256
+#: Rows that a Python worker turns into Python strings at once, and that reach it at once where the session leaves that open.
+ROWS, BATCH_ROWS = 256, 1024
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -27,6 +28,32 @@ def workers_import(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH", ""), ROOT]))
+    # whole texts are wide rows: Spark's own default of 10000 of them would be held twice, in the JVM and the worker
+    if spark.conf.get(BATCHES) == "10000":
+        spark.conf.set(BATCHES, str(BATCH_ROWS))
+
+
+BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def tidied(run: Callable) -> Callable:
+    """run, a function of Arrow batches, that gives its free memory back at the end of each task; workers outlive tasks."""
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidy
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
 
 
 def map_texts(df: DataFrame, text: str, keep: Sequence[str | tuple[str, Column]], fields: Sequence[tuple[str, DataType]], factory: Callable, *args) -> DataFrame:
@@ -49,7 +76,7 @@ def map_texts(df: DataFrame, text: str, keep: Sequence[str | tuple[str, Column]]
                 part = batch.slice(at, ROWS)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *compute(part.column(part.num_columns - 1).to_pylist())], names=names)
 
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(tidied(run), schema)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from cartulary.llm.common import ROWS, col, map_texts, workers_import
+from cartulary.llm.common import ROWS, col, map_texts, tidied, workers_import
 
 #: Places of a vector; letters told apart; trigrams bound at once; steps to a unit of a scaled document vector.
 PLACES, LETTERS, AT_ONCE, STEPS = 1024, 2048, 8192, 1 << 20
@@ -111,7 +111,7 @@ def fit(df: DataFrame, per_label: int = PER_LABEL, ident: str = "doc_id", text:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], names=["label", "vector"])
 
-    parts = taken.mapInArrow(summed, StructType([StructField("label", StringType()), StructField("vector", ArrayType(LongType()))]))
+    parts = taken.mapInArrow(tidied(summed), StructType([StructField("label", StringType()), StructField("vector", ArrayType(LongType()))]))
     total = parts.select("label", F.posexplode("vector").alias("place", "value")).groupBy("label", "place").agg(F.sum("value").alias("value"))
     out = {r["label"]: np.zeros(PLACES) for r in counts}
     for r in total.collect():  # labels times PLACES rows

@@ -37,15 +37,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from cartulary.llm.common import ROWS, col, discard, stored, workers_import
+from cartulary.llm.common import ROWS, col, discard, give_back, stored, tidied, workers_import
 from cartulary.llm.components import connected
 
 #: Bounds of a block: shingles and documents. Shingles that a range's task counts, as expected.
-BLOCK_SHINGLES, BLOCK_DOCUMENTS, RANGE_SHINGLES = 1 << 20, 4096, 1_500_000
+BLOCK_SHINGLES, BLOCK_DOCUMENTS, RANGE_SHINGLES = 1 << 19, 4096, 750_000
 #: Bits of a token within its range, of all, and of a document's place in its block.
 LOW_BITS, MOST_BITS, PLACE_BITS = 28, 52, 12
 #: Words that a worker remembers the hash of.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Classes of the suffix filter; two counts to a long.
 CLASSES = 32
 #: Bits of the filter of ids, at most.
@@ -189,6 +189,7 @@ def _count_range(low_bits: int):
         # owners are in order: the pieces were joined in turn
         cuts = np.searchsorted(owner, np.arange(len(blocks) + 1))
         rows = [(int(blocks[k]), int(b - a), pack(token[a:b], count[a:b], place[a:b])) for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
+        give_back()
         return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "entries": pa.array([r[1] for r in rows], pa.int32()), "payload": pa.array([r[2] for r in rows], pa.binary())})
 
     return run
@@ -228,6 +229,7 @@ def _select_prefixes(over: int, under: int, names: list[str]):
             # a set's classes stand in its first row alone
             later = pa.array(np.concatenate([[False], owner[1:] == owner[:-1]]) if len(owner) else np.zeros(0, bool))
             out = [pa.array(token.astype(np.int64)), pa.array(digests[owner].tolist(), pa.binary()), pa.array(size[owner]), pa.array(alone[owner]), pa.array(position + alone[owner]), *(pc.if_else(later, pa.scalar(None, pa.int64()), pa.array(halves[owner, k])) for k in range(CLASSES // 2))]
+        give_back()
         return pa.table(out, names=names)
 
     return run
@@ -306,7 +308,7 @@ def components(df: DataFrame, n: int = 5, similarity: tuple[int, int] = (3, 4),
     schema = StructType([StructField(x, t) for x, t in (("kind", IntegerType()), ("block", LongType()), ("place", IntegerType()), ("ident", kind), ("n", LongType()), ("digest", BinaryType()), ("range", IntegerType()), ("entries", IntegerType()), ("payload", BinaryType()))])
     from pyspark.sql.pandas.types import to_arrow_type
 
-    first = rows.mapInArrow(_blocks(n, LOW_BITS, range_bits, to_arrow_type(kind), schema.names), schema)
+    first = rows.mapInArrow(tidied(_blocks(n, LOW_BITS, range_bits, to_arrow_type(kind), schema.names)), schema)
     packed, packed_at = stored(first, "blocks", partition_by="kind")
     documents, documents_at = stored(packed.filter("kind = 0").select("block", "place", "ident", "n", "digest"), "documents")
 
@@ -333,7 +335,7 @@ def components(df: DataFrame, n: int = 5, similarity: tuple[int, int] = (3, 4),
     members = np.zeros(bits // 64, np.uint64)
     for r in filled.toLocalIterator():
         members[r["word"]] = r["value"] & 0xFFFFFFFFFFFFFFFF
-    whole = hashed.mapInArrow(_sets(n, members, bits), StructType([StructField("ident", kind), StructField("digest", BinaryType()), StructField("shingles", ArrayType(LongType()))]))
+    whole = hashed.mapInArrow(tidied(_sets(n, members, bits)), StructType([StructField("ident", kind), StructField("digest", BinaryType()), StructField("shingles", ArrayType(LongType()))]))
     sought = F.broadcast(chosen) if count <= MOST_SENT else chosen
     whole = whole.filter("digest is not null").alias("w").join(sought.alias("c"), F.col("w.digest").eqNullSafe(F.col("c.digest")) & F.col("w.ident").eqNullSafe(F.col("c.ident")), "left_semi")
     # a row that repeats id and text gives its set again, and with it links that are made distinct later

@@ -27,7 +27,7 @@ from pyspark.sql.types import LongType
 from cartulary.llm.common import map_texts
 
 MARK = "▁"
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 200_000, 64
 
 
 def merge_count(text: str, ranks: dict[str, float], byte_fallback: bool = True) -> int:

@@ -40,7 +40,7 @@ BLOCK, SEGMENT = 2048, 1 << 22
 ORDER1, ORDER2, BITS, RATE = 9, 10, 10, 4
 #: Bytes of text that a file holds, as expected, and files up to which their offsets go to every executor.
 FILE_BYTES, MOST_SENT = 32 << 20, 100_000
-REMEMBERED, LONGEST = 200_000, 48
+REMEMBERED, LONGEST = 150_000, 48
 _WHOLE, _LEAST = 1 << BITS, np.uint64(1 << 40)
 #: Where a distribution of 16 goes when one of them came: near all of the whole below and above it.
 _TARGETS = np.array([[k if k <= s else _WHOLE - 16 + k for k in range(1, 16)] for s in range(16)], np.int32)
