@@ -23,6 +23,14 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or one like it that no column of df has, case aside."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def workers_import(spark: SparkSession) -> None:
     """Let Python workers find this package where the driver has it on a path of its own."""
     env = spark.sparkContext.environment

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from cartulary.llm.common import ROWS, col, discard, give_back, stored, tidied, workers_import
+from cartulary.llm.common import ROWS, col, discard, free_name, give_back, stored, tidied, workers_import
 from cartulary.llm.components import connected
 
 #: Bounds of a block: shingles and documents. Shingles that a range's task counts, as expected.
@@ -385,6 +385,7 @@ def keep_one(df: DataFrame, classes: DataFrame, ident: str = "doc_id", text: str
 
     Documents without id stay. Columns are those of df.
     """
-    stay = classes.filter(col(ident) == F.col("component_id")).select(col(ident).alias("__stay")).distinct()
-    named = df.join(stay, col(ident) == F.col("__stay"), "left_semi").dropDuplicates([ident, text])
+    stays = free_name(df, "stays")
+    stay = classes.filter(col(ident) == F.col("component_id")).select(col(ident).alias(stays)).distinct()
+    named = df.join(stay, col(ident) == F.col(stays), "left_semi").dropDuplicates([ident, text])
     return named.unionByName(df.filter(col(ident).isNull()))

@@ -18,7 +18,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartulary.llm.common import col
+from cartulary.llm.common import col, free_name
 
 #: Sources up to which the rates go to every executor; more are joined by a shuffle, whose hot keys AQE splits.
 MOST_SENT = 50_000
@@ -53,14 +53,15 @@ def target_rates(df: DataFrame, weights: Mapping[str, float], default_weight: fl
 
 
 def replicate(df: DataFrame, weights: Mapping[str, float], default_weight: float = 1.0, epochs: float = 1.0, seed: str = "mix", ident: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """All columns of df for each copy of each document, copy (from 1) and shuffle_key, sorted by shuffle_key."""
-    rates = target_rates(df, weights, default_weight, epochs, text, source).select(F.col("source").alias("__source"), poisson_steps(F.col("rate")).alias("__steps"))
+    """All columns of df for each copy of each document, copy (from 1) and shuffle_key, sorted by shuffle_key. Columns of df of these two names give way."""
+    df = df.drop(*(c for c in df.columns if c.lower() in ("copy", "shuffle_key")))
+    of, steps, times = (free_name(df, x) for x in ("rate_source", "rate_steps", "times"))
+    rates = target_rates(df, weights, default_weight, epochs, text, source).select(F.col("source").alias(of), poisson_steps(F.col("rate")).alias(steps))
     if rates.count() <= MOST_SENT:
         rates = F.broadcast(rates)
     key = F.coalesce(col(ident).cast("string"), F.lit(""))
-    rows = df.join(rates, col(source).eqNullSafe(F.col("__source")))
+    rows = df.join(rates, col(source).eqNullSafe(F.col(of)))
     u = uniform(F.lit(seed), key)
-    times = F.size(F.filter("__steps", lambda step: step <= u))
-    rows = rows.withColumn("__times", times).filter("__times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    rows = rows.withColumn(times, F.size(F.filter(steps, lambda step: step <= u))).filter(F.col(times) > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(times))))
     rows = rows.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), key, F.col("copy").cast("string"))))
-    return rows.drop("__source", "__steps", "__times").orderBy("shuffle_key")
+    return rows.drop(of, steps, times).orderBy("shuffle_key")

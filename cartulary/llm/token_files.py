@@ -20,7 +20,9 @@ id stand together, by text. A table without rows gives files without documents.
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from cartulary.llm.common import ROWS, col, workers_import
+from cartulary.llm.common import ROWS, col, tidied, workers_import
 
 MAGIC = b"CMIX1\n"
 #: Ids of a block and, as a bound that closes it, of a segment.
@@ -40,107 +42,106 @@ BLOCK, SEGMENT = 2048, 1 << 22
 ORDER1, ORDER2, BITS, RATE = 9, 10, 10, 4
 #: Bytes of text that a file holds, as expected, and files up to which their offsets go to every executor.
 FILE_BYTES, MOST_SENT = 32 << 20, 100_000
-REMEMBERED, LONGEST = 150_000, 48
+#: Pieces that each of a worker's two generations remembers.
+REMEMBERED = 300_000
 _WHOLE, _LEAST = 1 << BITS, np.uint64(1 << 40)
-#: Where a distribution of 16 goes when one of them came: near all of the whole below and above it.
-_TARGETS = np.array([[k if k <= s else _WHOLE - 16 + k for k in range(1, 16)] for s in range(16)], np.int32)
+_BITS, _8, _16, _LOW16 = np.uint64(BITS), np.uint64(8), np.uint64(16), np.uint32(0xFFFF)
+#: Where the steps of a distribution of 16 go when one of them came: near none below it, near the whole above.
+_GOALS = np.array([[k if k <= s else _WHOLE - 16 + k for k in range(17)] for s in range(16)], np.int16)
+_GOALS_DOWN = np.ascontiguousarray(_GOALS.T)
 
 
 class Predictor:
-    """The state of all blocks, one lane each."""
+    """The state of all blocks, one lane each. Table entries hold an id and, above it, how far it is trusted (0 to 3)."""
 
     def __init__(self, lanes: int):
         self.lane = np.arange(lanes)
-        self.first = np.zeros((lanes << ORDER1), np.uint16)
-        self.second = np.zeros((lanes << ORDER2), np.uint16)
-        self.trust1 = np.zeros((lanes << ORDER1), np.uint8)
-        self.trust2 = np.zeros((lanes << ORDER2), np.uint8)
+        self.place1, self.place2 = self.lane << ORDER1, self.lane << ORDER2
+        self.place8, self.place4, self.place16 = self.lane << 3, self.lane << 2, self.lane << 4
+        self.first, self.second = np.zeros(lanes << ORDER1, np.uint32), np.zeros(lanes << ORDER2, np.uint32)
         #: Chance that a prediction holds, by order and trust; and of all lately, by how the last two went.
-        self.worth = np.full((lanes * 8), _WHOLE // 2, np.int32)
-        self.lately = np.full((lanes * 4), _WHOLE // 2, np.int32)
+        self.worth, self.lately = np.full(lanes * 8, _WHOLE // 2, np.int32), np.full(lanes * 4, _WHOLE // 2, np.int32)
+        flat = np.arange(17, dtype=np.int16) * (_WHOLE // 16)
+        #: Steps of the distributions of the highest four bits (a column a lane) and of the next four (a row a lane and highest four).
+        self.high, self.next = np.repeat(flat[:, None], lanes, 1), np.tile(flat, (lanes * 16, 1))
+        self.last = self.before = np.zeros(lanes, np.uint32)
         self.past = np.zeros(lanes, np.int64)
-        flat = np.arange(1, 16, dtype=np.int32) * (_WHOLE // 16)
-        self.high = np.tile(flat, (lanes, 1))
-        self.next = np.tile(flat, (lanes * 16, 1))
-        self.last = np.zeros(lanes, np.int64)
-        self.before = np.zeros(lanes, np.int64)
 
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
         """The predicted id and the chance that it holds, of _WHOLE."""
-        self.at1 = (self.lane << ORDER1) + ((self.last * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - ORDER1)
-        self.at2 = (self.lane << ORDER2) + (((self.last * 0x85EBCA77 ^ self.before * 0xC2B2AE3D) & 0xFFFFFFFF) >> 32 - ORDER2)
-        t2 = self.trust2[self.at2]
-        two = t2 > 0
-        guess = np.where(two, self.second[self.at2], self.first[self.at1])
-        self.context = (self.lane << 3) + np.where(two, t2 + 4, self.trust1[self.at1])
-        self.recent = (self.lane << 2) + self.past
-        chance = self.worth[self.context] * 3 + self.lately[self.recent] >> 2
-        return guess, np.clip(chance, 4, _WHOLE - 4)
+        last = self.last
+        self.at1 = self.place1 + (last * np.uint32(0x9E3779B1) >> np.uint32(32 - ORDER1))
+        self.at2 = self.place2 + ((last * np.uint32(0x85EBCA77) ^ self.before * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - ORDER2))
+        self.one, self.two = self.first.take(self.at1), self.second.take(self.at2)
+        # order 2 where it has met the two, in contexts 5 to 7; else order 1, in 0 to 3
+        entry = np.where(self.two > _LOW16, self.two + np.uint32(4 << 16), self.one)
+        self.context, self.recent = self.place8 + (entry >> np.uint32(16)), self.place4 + self.past
+        self.w, self.r = self.worth.take(self.context), self.lately.take(self.recent)
+        return entry & _LOW16, np.clip(self.w * 3 + self.r >> 2, 4, _WHOLE - 4).astype(np.uint64)
+
+    def high_steps(self, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        flat, at = self.high.ravel(), top * len(self.lane) + self.lane
+        return flat.take(at).astype(np.uint64), flat.take(at + len(self.lane)).astype(np.uint64)
+
+    def next_steps(self, top: np.ndarray, then: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        flat, at = self.next.ravel(), (self.place16 + top) * 17 + then
+        return flat.take(at).astype(np.uint64), flat.take(at + 1).astype(np.uint64)
 
     def learn(self, ids: np.ndarray, held: np.ndarray) -> None:
-        goal = held * _WHOLE
-        w = self.worth[self.context]
-        self.worth[self.context] = w + (goal - w >> RATE)
-        w = self.lately[self.recent]
-        self.lately[self.recent] = w + (goal - w >> RATE)
-        self.past = (self.past << 1 & 2) | held
-        for table, trust, at in ((self.first, self.trust1, self.at1), (self.second, self.trust2, self.at2)):
-            t = trust[at]
-            same = (table[at] == ids) & (t > 0)
-            trust[at] = np.where(same, np.minimum(t + 1, 3), 1)
-            table[at] = ids
+        goal = held.astype(np.int32) << BITS
+        self.worth[self.context] = self.w + (goal - self.w >> RATE)
+        self.lately[self.recent] = self.r + (goal - self.r >> RATE)
+        self.past = self.past << 1 & 2 | held
+        for table, at, entry in ((self.first, self.at1, self.one), (self.second, self.at2, self.two)):
+            trust = np.minimum((entry >> np.uint32(16)) + np.uint32(1), np.uint32(3))
+            trust[(entry & _LOW16) != ids] = 1
+            table[at] = ids | trust << np.uint32(16)
         self.before, self.last = self.last, ids
+        top, then = _parts(ids)
+        for table, at, goals in ((self.high, slice(None), _GOALS_DOWN.take(top, axis=1)), (self.next, self.place16 + top, _GOALS.take(then, axis=0))):
+            steps = table[at]
+            table[at] = steps + (goals - steps >> RATE)
 
 
-def _adapt(table: np.ndarray, rows: np.ndarray, symbol: np.ndarray, steps: np.ndarray) -> None:
-    table[rows] = steps + (_TARGETS[symbol] - steps >> RATE)
+def _parts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The highest four of an id's 16 bits, and the next four."""
+    return (ids >> np.uint32(12)).astype(np.intp), (ids >> np.uint32(8) & np.uint32(15)).astype(np.intp)
 
 
-def encode_blocks(blocks: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """The stream of each row of blocks (16-bit ids), of which the first sizes[row] count. Rows stand by size, the largest first."""
-    lanes = len(blocks)
-    p = Predictor(lanes)
+def encode_blocks(blocks: np.ndarray) -> list[bytes]:
+    """The stream of each row of 16-bit ids."""
+    lanes, steps = blocks.shape
+    p, columns = Predictor(lanes), np.ascontiguousarray(blocks.T).astype(np.uint32)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 56, np.uint64)
-    digits = np.zeros((lanes, int(sizes.max()) * 3 + 8), np.int32)
+    digits = np.zeros((lanes, steps * 3 + 8), np.int32)
     filled = np.ones(lanes, np.int64)  # the first digit takes a carry alone
-    steps = int(sizes.max())
-    alive = np.searchsorted(-sizes, -np.arange(steps), side="left")
-    for step in range(steps):
-        n = int(alive[step])
-        if n < len(low):
-            p = _shrunk(p, n)
-            _finish(low, n, digits, filled)
-            low, span = low[:n], span[:n]
-        ids = blocks[:n, step].astype(np.int64)
+    for ids in columns:
         guess, chance = p.predict()
-        held = (guess == ids).astype(np.int64)
-        unit = span >> np.uint64(BITS)
-        part = unit * chance.astype(np.uint64)
-        low = low + np.where(held, 0, part).astype(np.uint64)
-        span = np.where(held, part, unit * (_WHOLE - chance).astype(np.uint64))
-        miss = np.flatnonzero(held == 0)
-        if len(miss):
-            symbols, s, x = ids[miss], span[miss], low[miss]
-            top, second = symbols >> 12, symbols >> 8 & 15
-            for table, rows, symbol in ((p.high, miss, top), (p.next, miss * 16 + top, second)):
-                edges = table[rows]
-                full = np.concatenate([np.zeros((len(miss), 1), np.int32), edges, np.full((len(miss), 1), _WHOLE, np.int32)], 1)
-                k = np.arange(len(miss))
-                begin, end = full[k, symbol].astype(np.uint64), full[k, symbol + 1].astype(np.uint64)
-                unit = s >> np.uint64(BITS)
-                x += unit * begin
-                s = unit * (end - begin)
-                _adapt(table, rows, symbol, edges)
-            s = s >> np.uint64(8)
-            x += s * (symbols & 255).astype(np.uint64)
-            span[miss], low[miss] = s, x
+        held, (top, then) = guess == ids, _parts(ids)
+        unit = span >> _BITS
+        part = unit * chance
+        # the way of a miss is gone in all lanes, and left where the prediction holds
+        x, s = low + part, (unit << _BITS) - part
+        for begin, end in (p.high_steps(top), p.next_steps(top, then)):
+            unit = s >> _BITS
+            x += unit * begin
+            s = unit * (end - begin)
+        s >>= _8
+        x += s * (ids & np.uint32(255))
+        low, span = np.where(held, low, x), np.where(held, part, s)
         while len(small := np.flatnonzero(span < _LEAST)):
-            digits[small, filled[small]] = low[small] >> np.uint64(40)
+            v = low[small]
+            digits[small, filled[small]] = v >> np.uint64(40)
             filled[small] += 1
-            low[small] = (low[small] & np.uint64((1 << 40) - 1)) << np.uint64(16)
-            span[small] <<= np.uint64(16)
+            low[small] = (v & np.uint64((1 << 40) - 1)) << _16
+            span[small] <<= _16
         p.learn(ids, held)
-    _finish(low, 0, digits, filled)
+    for shift in (40, 24, 8):
+        digits[p.lane, filled] = low >> np.uint64(shift)
+        low &= np.uint64((1 << shift) - 1)
+        filled += 1
+    digits[p.lane, filled] = low << _8
+    filled += 1
     for k in range(digits.shape[1] - 1, 0, -1):  # carries, from the last digit up
         over = digits[:, k] >> 16
         if over.any():
@@ -149,98 +150,64 @@ def encode_blocks(blocks: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     return [d[1:n].astype("<u2").tobytes() for d, n in zip(digits, filled.tolist(), strict=True)]
 
 
-def _finish(low: np.ndarray, keep: int, digits: np.ndarray, filled: np.ndarray) -> None:
-    """Write out what is left of the lanes from keep on."""
-    rows = np.arange(keep, len(low))
-    rest = low[keep:]
-    for shift in (40, 24, 8):
-        digits[rows, filled[rows]] = rest >> np.uint64(shift)
-        rest = rest & np.uint64((1 << shift) - 1)
-        filled[rows] += 1
-    digits[rows, filled[rows]] = rest << np.uint64(8)
-    filled[rows] += 1
-
-
-def _shrunk(p: Predictor, n: int) -> Predictor:
-    """The first n lanes."""
-    for name, per in (("lane", 1), ("first", 1 << ORDER1), ("second", 1 << ORDER2), ("trust1", 1 << ORDER1), ("trust2", 1 << ORDER2), ("worth", 8), ("lately", 4), ("past", 1), ("high", 1), ("next", 16), ("last", 1), ("before", 1)):
-        setattr(p, name, getattr(p, name)[: n * per])
-    return p
-
-
-def decode_blocks(streams: list[bytes], sizes: np.ndarray) -> np.ndarray:
-    """What encode_blocks was given; ids beyond a row's size are 0."""
-    lanes, steps = len(streams), int(sizes.max()) if len(sizes) else 0
-    p = Predictor(lanes)
+def decode_blocks(streams: list[bytes], steps: int) -> np.ndarray:
+    """The rows of ids that encode_blocks was given, steps of each."""
+    lanes = len(streams)
+    p, out = Predictor(lanes), np.zeros((steps, lanes), np.uint16)
     width = max(map(len, streams), default=0) // 2 + 8
     digits = np.zeros((lanes, width), np.uint64)
-    for k, s in enumerate(streams):
-        digits[k, : len(s) // 2] = np.frombuffer(s, "<u2")
-    flat = digits.ravel()
-    at = np.arange(lanes) * width + 4
-    code = (digits[:, 0] << np.uint64(40)) | (digits[:, 1] << np.uint64(24)) | (digits[:, 2] << np.uint64(8)) | (digits[:, 3] >> np.uint64(8))
-    # the code holds 56 bits: the fourth digit gives a byte here and a byte later
-    spare, spare_bits = digits[:, 3] & np.uint64(255), np.uint64(8)
-    span = np.full(lanes, 1 << 56, np.uint64)
-    out = np.zeros((lanes, steps), np.uint16)
-    alive = np.searchsorted(-sizes, -np.arange(steps), side="left")
+    for k, stream in enumerate(streams):
+        digits[k, : len(stream) // 2] = np.frombuffer(stream, "<u2")
+    flat, at = digits.ravel(), p.lane * width + 4
+    # the code holds 56 bits: the fourth digit gives a byte now and keeps a byte for later
+    code = digits[:, 0] << np.uint64(40) | digits[:, 1] << np.uint64(24) | digits[:, 2] << _8 | digits[:, 3] >> _8
+    spare, span = digits[:, 3] & np.uint64(255), np.full(lanes, 1 << 56, np.uint64)
     for step in range(steps):
-        n = int(alive[step])
-        if n < len(code):
-            p = _shrunk(p, n)
-            code, span, at, spare = code[:n], span[:n], at[:n], spare[:n]
         guess, chance = p.predict()
-        unit = span >> np.uint64(BITS)
-        part = unit * chance.astype(np.uint64)
-        held = (code < part).astype(np.int64)
-        code = code - np.where(held, 0, part).astype(np.uint64)
-        span = np.where(held, part, unit * (_WHOLE - chance).astype(np.uint64))
-        ids = guess.astype(np.int64)
-        miss = np.flatnonzero(held == 0)
-        if len(miss):
-            s, x, k = span[miss], code[miss], np.arange(len(miss))
-            symbol, rows = None, miss
-            for table in (p.high, p.next):
-                edges = table[rows]
-                unit = s >> np.uint64(BITS)
-                value = np.minimum(x // unit, np.uint64(_WHOLE - 1)).astype(np.int32)
-                found = (edges <= value[:, None]).sum(1)
-                full = np.concatenate([np.zeros((len(miss), 1), np.int32), edges, np.full((len(miss), 1), _WHOLE, np.int32)], 1)
-                begin, end = full[k, found].astype(np.uint64), full[k, found + 1].astype(np.uint64)
-                x -= unit * begin
-                s = unit * (end - begin)
-                _adapt(table, rows, found, edges)
-                symbol = found if symbol is None else symbol << 4 | found
-                rows = miss * 16 + found
-            s = s >> np.uint64(8)
-            low = np.minimum(x // s, np.uint64(255))
-            x -= s * low
-            span[miss], code[miss] = s, x
-            ids[miss] = symbol << 8 | low.astype(np.int64)
+        unit = span >> _BITS
+        part = unit * chance
+        held = code < part
+        c, s = code - part, (unit << _BITS) - part
+        unit = s >> _BITS
+        value = np.minimum(c // unit, np.uint64(_WHOLE - 1)).astype(np.int16)
+        top = (p.high[1:16] <= value).view(np.uint8).sum(0, dtype=np.uint8).astype(np.intp)
+        begin, end = p.high_steps(top)
+        c -= unit * begin
+        s = unit * (end - begin)
+        unit = s >> _BITS
+        value = np.minimum(c // unit, np.uint64(_WHOLE - 1)).astype(np.int16)
+        then = (p.next.take(p.place16 + top, axis=0)[:, 1:16] <= value[:, None]).view(np.uint8).sum(1, dtype=np.uint8).astype(np.intp)
+        begin, end = p.next_steps(top, then)
+        c -= unit * begin
+        s = unit * (end - begin) >> _8
+        byte = np.minimum(c // s, np.uint64(255))
+        c -= s * byte
+        ids = np.where(held, guess, (top << 12 | then << 8).astype(np.uint32) | byte.astype(np.uint32))
+        code, span = np.where(held, code, c), np.where(held, part, s)
         while len(small := np.flatnonzero(span < _LEAST)):
-            digit = flat[at[small]]
-            at[small] += 1
-            code[small] = code[small] << np.uint64(16) | spare[small] << spare_bits | digit >> spare_bits
+            here = at[small]
+            at[small] = here + 1
+            digit = flat.take(here, mode="clip")
+            code[small] = code[small] << _16 | spare[small] << _8 | digit >> _8
             spare[small] = digit & np.uint64(255)
-            span[small] <<= np.uint64(16)
-        out[:n, step] = ids
+            span[small] <<= _16
+        out[step] = ids
         p.learn(ids, held)
-    return out
+    return np.ascontiguousarray(out.T)
 
 
 def write_segment(idents: list[int | None], ids: list[np.ndarray]) -> bytes:
     """The bytes of a segment; ids: 16-bit numbers of each document."""
     sizes = np.array(list(map(len, ids)), "<u4")
     flat = np.concatenate([*ids, np.zeros(0, np.uint16)]).astype("<u2")
-    lanes = -(-len(flat) // BLOCK)
-    padded = np.zeros(lanes * BLOCK, np.uint16)
+    block = min(BLOCK, max(1, len(flat)))
+    lanes = -(-len(flat) // block)
+    padded = np.zeros(lanes * block, np.uint16)  # the last block is filled up with id 0
     padded[: len(flat)] = flat
-    counts = np.full(lanes, BLOCK, np.int64)
-    if lanes:
-        counts[-1] = len(flat) - BLOCK * (lanes - 1)
-    streams = encode_blocks(padded.reshape(lanes, BLOCK), counts) if lanes else []
-    table = np.array([[len(s), c, zlib.crc32(flat[k * BLOCK : k * BLOCK + c].tobytes())] for k, (s, c) in enumerate(zip(streams, counts.tolist(), strict=True))], "<u4").reshape(-1, 3)
-    head = np.array([len(ids), len(flat), lanes, BLOCK, sum(map(len, streams))], "<u4")
+    streams = encode_blocks(padded.reshape(lanes, block)) if lanes else []
+    counts = [min(block, len(flat) - k * block) for k in range(lanes)]
+    table = np.array([[len(s), c, zlib.crc32(flat[k * block : k * block + c].tobytes())] for k, (s, c) in enumerate(zip(streams, counts, strict=True))], "<u4").reshape(-1, 3)
+    head = np.array([len(ids), len(flat), lanes, block, sum(map(len, streams))], "<u4")
     named = np.array([i if i is not None else 0 for i in idents], "<i8"), np.array([i is not None for i in idents], np.uint8)
     return b"".join([MAGIC, head.tobytes(), named[0].tobytes(), named[1].tobytes(), sizes.tobytes(), table.tobytes(), *streams, b"\n"])
 
@@ -266,7 +233,7 @@ def read_segments(data: bytes) -> Iterator[tuple[list[int | None], np.ndarray, n
         if data[at : at + 1] != b"\n":
             raise ValueError(f"a segment is cut at byte {at}")
         at += 1
-        decoded = decode_blocks(streams, table[:, 1]) if lanes else np.zeros((0, block), np.uint16)
+        decoded = decode_blocks(streams, block) if lanes else np.zeros((0, block), np.uint16)
         for k, (count, crc) in enumerate(table[:, 1:].tolist()):
             if zlib.crc32(decoded[k, :count].astype("<u2").tobytes()) != crc:
                 raise ValueError(f"block {k} is damaged")
@@ -277,7 +244,8 @@ class Encoder(dict):
     """The tokenizers library's ids of whole texts, as packed 16-bit numbers.
 
     A text goes to the library piece by piece as its own pre-tokenisation cuts it, each piece once while it is
-    remembered; a text that holds one of the library's added tokens goes whole.
+    remembered, and those of several texts together; a text that holds one of the library's added tokens goes whole.
+    As a dict: what pieces met lately gave; `older` is the generation before.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -288,26 +256,38 @@ class Encoder(dict):
         self.library = Tokenizer.from_file(path)
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids are stored in 16 bits")
+        if sys.byteorder != "little":
+            raise ValueError("ids are packed as this machine orders bytes, which has to be little-endian")
         self.pieces = regex.compile(pattern).findall
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
 
-    def __missing__(self, piece: str) -> bytes:
-        if (packed := self.older.pop(piece, None)) is None:
-            packed = self.whole(piece)
-        if len(piece) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.older = dict(self)
-                self.clear()
-            self[piece] = packed
-        return packed
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if any(t in text for t in self.added):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, self.pieces(text)))
+    def asked(self, texts: list[str]) -> list[bytes]:
+        return [array("H", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def meet(self, pieces: set[str]) -> None:
+        """Know all pieces."""
+        if len(self) + len(pieces) > REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        unknown = []
+        for piece in pieces:
+            if (packed := self.older.pop(piece, None)) is None:
+                unknown.append(piece)
+            else:
+                self[piece] = packed
+        self.update(zip(unknown, self.asked(unknown), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        whole = [k for k, t in enumerate(texts) if any(x in t for x in self.added)]
+        cut = [[] if k in set(whole) else self.pieces(t) for k, t in enumerate(texts)] if whole else list(map(self.pieces, texts))
+        if unknown := set().union(*cut).difference(self):
+            self.meet(unknown)
+            if unknown := set().union(*cut).difference(self):  # what the change of generations left behind
+                self.meet(unknown)
+        out = [b"".join(map(self.__getitem__, pieces)) for pieces in cut]
+        for k, packed in zip(whole, self.asked([texts[k] for k in whole]), strict=True):
+            out[k] = packed
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -333,7 +313,7 @@ def write(df: DataFrame, folder: str, tokenizer: str, pattern: str, end_id: int,
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 idents += part.column(0).to_pylist()
-                new = [np.frombuffer(e.encode(t) + end, "<u2") for t in part.column(1).to_pylist()]
+                new = [np.frombuffer(x + end, "<u2") for x in e.encode(part.column(1).to_pylist())]
                 ids += new
                 size += sum(map(len, new))
                 if size >= SEGMENT:
@@ -343,7 +323,7 @@ def write(df: DataFrame, folder: str, tokenizer: str, pattern: str, end_id: int,
             yield pa.RecordBatch.from_arrays([pa.array([write_segment(idents, ids)], pa.binary())], names=["value"])
 
     # the segments' own last byte is the line feed that the writer puts after a row
-    segments = dealt.mapInArrow(run, StructType([StructField("value", BinaryType())]))
+    segments = dealt.mapInArrow(tidied(run), StructType([StructField("value", BinaryType())]))
     segments.select(F.expr("cast(substring(value, 1, length(value) - 1) as string)").alias("value")).write.text(folder)
 
 
@@ -367,7 +347,7 @@ def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
                     start += int(ends[-1]) if len(ends) else 0
                     yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
-    return found.mapInArrow(run, StructType(fields))
+    return found.mapInArrow(tidied(run), StructType(fields))
 
 
 def placed(rows: DataFrame) -> DataFrame:

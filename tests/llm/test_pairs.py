@@ -105,7 +105,8 @@ def test_pair_edge_cases(spark):
     got = sorted(map(str, [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.components(df).collect()]))
     assert got == sorted(map(str, [(None, 2, 2), (2, 2, 2), (2, 2, 2), (None, 0, None), (3, 0, 3), (4, 0, 4), (5, 1, 5), (6, 1, 5)]))
     assert ngram_join.components(df.limit(0)).count() == 0
-    kept = ngram_join.keep_one(df, ngram_join.components(df))
+    kept = ngram_join.keep_one(df.withColumn("Stays", F.lit(1)), ngram_join.components(df))
+    assert kept.columns == ["doc_id", "text", "Stays"]
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "3", "4", "5", "None", "None"]
 
 

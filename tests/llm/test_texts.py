@@ -325,8 +325,10 @@ def test_the_mix_meets_its_targets_in_any_partitioning(spark):
 
 
 def test_the_mix_of_edge_cases(spark):
-    df = edge_table(spark).drop("copy")
-    assert source_mix.replicate(df, {}).count() >= 0
+    df = edge_table(spark).withColumns({"Rate_Source": F.lit("x"), "times": F.lit(5), "Shuffle_Key": F.lit("old")})
+    mixed = source_mix.replicate(df, {})
+    assert mixed.columns == [c for c in df.columns if c not in ("copy", "Shuffle_Key")] + ["copy", "shuffle_key"]
+    assert {r.times for r in mixed.collect()} <= {5}
     assert source_mix.replicate(df.limit(0), {}).count() == 0
     empty = df.withColumn("text", F.lit(None).cast("string"))
     rates = source_mix.target_rates(empty, {}).collect()
