@@ -208,7 +208,7 @@ def debounced_saves(spark, sf_dir):
     return E.saves(Fixture(spark, sf_dir).table("events").select(F.col("user_id").alias("doc_id"), "ts", F.col("event_type").alias("payload")))
 
 
-@query(f"SELECT concat('c', o_custkey) AS src, count(*) AS prompts, sum(length(concat('Labels: ', type, chr(10), 'Document: ', o_custkey))) AS chars FROM ({duck(LARGE_LINES)}) GROUP BY o_custkey")
+@query(f"SELECT concat('c', o_custkey) AS src, count(*) AS prompts, CAST(sum(length(concat('Labels: ', type, chr(10), 'Document: ', o_custkey))) AS BIGINT) AS chars FROM ({duck(LARGE_LINES)}) GROUP BY o_custkey")
 def prompts(spark, sf_dir):
     lines = Fixture(spark, sf_dir).sql(LARGE_LINES)
     made = lines.select("o_custkey", extract.prompt("Labels: {labels}\nDocument: {title}", labels=F.col("type"), title=F.col("o_custkey")).alias("prompt"))
