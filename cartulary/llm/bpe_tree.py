@@ -36,6 +36,8 @@ from cartulary.llm.common import map_texts
 LEAF = 8
 #: Pieces that each of a worker's two generations remembers, and the length up to which it does.
 REMEMBERED, LONGEST = 150_000, 48
+#: Stretches of bytes that a worker remembers the tokens of, and the length up to which it does.
+SHORT_REMEMBERED, SHORT = 100_000, 16
 #: Tokens whose bytes are joined at once in decoding.
 BLOCK = 2048
 #: Above all ranks.
@@ -84,12 +86,27 @@ def merged(data: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     return [p for p in parts if p]
 
 
-def joined(a: list[bytes], b: list[bytes], ranks: dict[bytes, int]) -> list[bytes]:
+class Merger(dict):
+    """merged() by the ranks of a vocabulary, with what short stretches gave lately: halves and windows recur in many pieces."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+
+    def __missing__(self, data: bytes) -> list[bytes]:
+        parts = merged(data, self.ranks)
+        if len(data) <= SHORT:
+            if len(self) >= SHORT_REMEMBERED:
+                self.clear()
+            self[data] = parts
+        return parts
+
+
+def joined(a: list[bytes], b: list[bytes], merger: Merger) -> list[bytes]:
     """The encoding of the bytes of a and b together, from their encodings."""
     left = right = 1
     while True:
         i, j = max(0, len(a) - left), min(len(b), right)
-        window = merged(b"".join(a[i:]) + b"".join(b[:j]), ranks)
+        window = merger[b"".join(a[i:] + b[:j])]
         left_holds = i == 0 or window[0] == a[i]
         right_holds = j == len(b) or window[-1] == b[j - 1]
         if left_holds and right_holds:
@@ -98,12 +115,12 @@ def joined(a: list[bytes], b: list[bytes], ranks: dict[bytes, int]) -> list[byte
         right *= 1 if right_holds else 2
 
 
-def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+def encode_piece(piece: bytes, merger: Merger) -> list[bytes]:
     """Tokens of one piece; halves are encoded first, then joined."""
     if len(piece) <= LEAF:
-        return merged(piece, ranks)
+        return merger[piece]
     half = len(piece) // 2
-    return joined(encode_piece(piece[:half], ranks), encode_piece(piece[half:], ranks), ranks)
+    return joined(encode_piece(piece[:half], merger), encode_piece(piece[half:], merger), merger)
 
 
 def decode_ids(ids: Sequence[int], tokens: Sequence[bytes]) -> bytes:
@@ -121,6 +138,7 @@ class Codec(dict):
 
         self.older: dict[str, bytes] = {}
         self.ranks = load_ranks(path)
+        self.merger = Merger(self.ranks)
         self.tokens: list[bytes] = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
@@ -139,7 +157,7 @@ class Codec(dict):
     def fresh(self, piece: str) -> bytes:
         data = piece.encode()
         whole = self.ranks.get(data)
-        ids = [whole] if whole is not None else [self.ranks[t] for t in encode_piece(data, self.ranks)]
+        ids = [whole] if whole is not None else [self.ranks[t] for t in encode_piece(data, self.merger)]
         return np.array(ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:

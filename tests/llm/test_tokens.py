@@ -57,7 +57,7 @@ def test_joining_equals_encoding_the_whole():
     for _ in range(500):
         data = bytes(rng.choice(b"aabeth er\xc3\xa9") for _ in range(rng.randint(2, 60)))
         k = rng.randint(0, len(data))
-        assert bpe_tree.joined(bpe_tree.merged(data[:k], c.ranks), bpe_tree.merged(data[k:], c.ranks), c.ranks) == bpe_tree.merged(data, c.ranks)
+        assert bpe_tree.joined(bpe_tree.merged(data[:k], c.ranks), bpe_tree.merged(data[k:], c.ranks), c.merger) == bpe_tree.merged(data, c.ranks)
 
 
 def test_heap_and_list_merging_agree():
