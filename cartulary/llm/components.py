@@ -15,28 +15,25 @@ def connected(links: DataFrame) -> tuple[DataFrame, str]:
     followed four steps up; links are redrawn between what was reached. Parents are
     smaller, so there is no cycle; each round at least halves the paths that are left.
     """
-    spark, old = links.sparkSession, []
+    spark, old, steps = links.sparkSession, [], []
     edges, at = stored(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct(), "links")
-    mapping, mapping_at = None, None
     while True:
-        old.append(at)
         parents, parents_at = stored(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("up")), "parents")
-        for _ in range(2):
-            higher = parents.select(F.col("a").alias("up"), F.col("up").alias("higher"))
-            jumped, jumped_at = stored(parents.join(higher, "up").select("a", F.col("higher").alias("up")), "parents")
-            old.append(parents_at)
-            parents, parents_at = jumped, jumped_at
-        if mapping is None:
-            mapping, mapping_at = parents.select(F.col("a").alias("node"), F.col("up").alias("root")), parents_at
-        else:
-            old.append(parents_at)
-            moved = mapping.join(parents.select(F.col("a").alias("root"), "up"), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
-            old.append(mapping_at)
-            mapping, mapping_at = stored(moved, "roots")
-        left = parents.select("a", F.col("up").alias("ra"))
-        right = parents.select(F.col("a").alias("b"), F.col("up").alias("rb"))
+        higher = parents.select(F.col("a").alias("up"), F.col("up").alias("higher"))
+        twice = parents.join(higher, "up").select("a", F.col("higher").alias("up"))
+        highest = twice.select(F.col("a").alias("up"), F.col("up").alias("higher"))
+        step, step_at = stored(twice.join(highest, "up").select("a", F.col("higher").alias("up")), "steps")
+        steps.append(step)
+        left = step.select("a", F.col("up").alias("ra"))
+        right = step.select(F.col("a").alias("b"), F.col("up").alias("rb"))
         redrawn = edges.join(left, "a").join(right, "b").filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+        old += [at, parents_at, step_at]
         edges, at = stored(redrawn, "links")
         if not edges.head(1):
-            discard(spark, at, *old)
-            return mapping, mapping_at
+            break
+    mapping = steps[0].select(F.col("a").alias("node"), F.col("up").alias("root"))
+    for step in steps[1:]:
+        mapping = mapping.join(step.select(F.col("a").alias("root"), "up"), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+    mapping, mapping_at = stored(mapping, "roots")
+    discard(spark, at, *old)
+    return mapping, mapping_at

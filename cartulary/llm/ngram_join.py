@@ -310,14 +310,14 @@ def components(df: DataFrame, n: int = 5, similarity: tuple[int, int] = (3, 4),
 
     first = rows.mapInArrow(tidied(_blocks(n, LOW_BITS, range_bits, to_arrow_type(kind), schema.names)), schema)
     packed, packed_at = stored(first, "blocks", partition_by="kind")
-    documents, documents_at = stored(packed.filter("kind = 0").select("block", "place", "ident", "n", "digest"), "documents")
+    documents = packed.filter("kind = 0").select("block", "place", "ident", "n", "digest")
 
     counted = packed.filter("kind = 1").select("range", "block", "entries", "payload").groupBy("range").applyInArrow(_count_range(LOW_BITS), "block long, entries int, payload binary")
     classes = [f"c{k}" for k in range(CLASSES // 2)]
     names = ["token", "digest", "n", "alone", "position", *classes]
     picked = counted.groupBy("block").cogroup(documents.filter("place >= 0").select("block", "place", "n", "digest").groupBy("block")).applyInArrow(_select_prefixes(over, under, names), "token long, digest binary, n long, alone long, position long, " + ", ".join(f"{c} long" for c in classes))
     picked, picked_at = stored(picked, "prefixes")
-    discard(spark, packed_at)
+    discard(spark, f"{packed_at}/kind=1")
     # copies in other blocks give the same rows
     postings, postings_at = stored(picked.select(*names[:5]).distinct(), "postings")
     nodes_classes = picked.filter("c0 is not null").select("digest", *classes).dropDuplicates(["digest"])
