@@ -43,7 +43,7 @@ ORDER1, ORDER2, BITS, RATE = 9, 10, 10, 4
 #: Bytes of text that a file holds, as expected, and files up to which their offsets go to every executor.
 FILE_BYTES, MOST_SENT = 32 << 20, 100_000
 #: Pieces that each of a worker's two generations remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 _WHOLE, _LEAST = 1 << BITS, np.uint64(1 << 40)
 _BITS, _8, _16, _LOW16 = np.uint64(BITS), np.uint64(8), np.uint64(16), np.uint32(0xFFFF)
 #: Where the steps of a distribution of 16 go when one of them came: near none below it, near the whole above.
@@ -264,28 +264,25 @@ class Encoder(dict):
     def asked(self, texts: list[str]) -> list[bytes]:
         return [array("H", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def meet(self, pieces: set[str]) -> None:
-        """Know all pieces."""
-        if len(self) + len(pieces) > REMEMBERED:
+    def meet(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of pieces that aren't among those met lately; from now on they are."""
+        old = {p: x for p in pieces if (x := self.older.get(p)) is not None}
+        new = [p for p in pieces if p not in old]
+        found = old | dict(zip(new, self.asked(new), strict=True))
+        if len(self) + len(found) > REMEMBERED:
             self.older = dict(self)
             self.clear()
-        unknown = []
-        for piece in pieces:
-            if (packed := self.older.pop(piece, None)) is None:
-                unknown.append(piece)
-            else:
-                self[piece] = packed
-        self.update(zip(unknown, self.asked(unknown), strict=True))
+        self.update(found)
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [k for k, t in enumerate(texts) if any(x in t for x in self.added)]
-        cut = [[] if k in set(whole) else self.pieces(t) for k, t in enumerate(texts)] if whole else list(map(self.pieces, texts))
-        if unknown := set().union(*cut).difference(self):
-            self.meet(unknown)
-            if unknown := set().union(*cut).difference(self):  # what the change of generations left behind
-                self.meet(unknown)
-        out = [b"".join(map(self.__getitem__, pieces)) for pieces in cut]
-        for k, packed in zip(whole, self.asked([texts[k] for k in whole]), strict=True):
+        whole = {k for k, t in enumerate(texts) if any(x in t for x in self.added)}
+        cut = [[] if k in whole else self.pieces(t) for k, t in enumerate(texts)]
+        known = [list(map(self.get, pieces)) for pieces in cut]
+        found = self.meet({p for pieces, ids in zip(cut, known, strict=True) if None in ids for p, x in zip(pieces, ids, strict=True) if x is None})
+        out = [b"".join(ids if None not in ids else [found[p] if x is None else x for p, x in zip(pieces, ids, strict=True)]) for pieces, ids in zip(cut, known, strict=True)]
+        rest = sorted(whole)
+        for k, packed in zip(rest, self.asked([texts[k] for k in rest]), strict=True):
             out[k] = packed
         return out
 
