@@ -53,10 +53,12 @@ def navigation_anchors(anchors: DataFrame, current_doc: str) -> DataFrame:
 def active_nodes(visits: DataFrame, anchors: DataFrame) -> DataFrame:
     """visit rows with the active node: the first on the page, else the first within a page of it, else null.
 
-    visits: doc_id, visit_id, page. The pages around are rows, so the join is by equal keys.
+    visits: doc_id, visit_id, page. The pages around are rows, so the join is by equal keys; of a page's nodes
+    only the first can win, so a page is one row before it is met.
     """
+    first = anchors.groupBy("doc_id", "page").agg(F.min("node_id").alias("node_id"))
     near = visits.withColumn("at", F.explode(F.array(*(F.struct((F.col("page") + d).alias("page"), F.lit(abs(d)).alias("off")) for d in (-1, 0, 1)))))
-    met = near.select("doc_id", "visit_id", F.col("at.page").alias("page"), "at.off").join(anchors.select("doc_id", "page", "node_id"), ["doc_id", "page"])
+    met = near.select("doc_id", "visit_id", F.col("at.page").alias("page"), "at.off").join(first, ["doc_id", "page"])
     best = met.groupBy("doc_id", "visit_id").agg(F.min(F.struct("off", "node_id")).alias("b")).select("doc_id", "visit_id", F.col("b.node_id").alias("active"))
     return visits.join(best, ["doc_id", "visit_id"], "left")
 
