@@ -1,10 +1,11 @@
 """Secret scans: fixed patterns, and novelty under a primed zstandard compressor.
 
-Base spans are those of three patterns (assign, access, hex). Beyond them, a long string near a
-sensitive word is a candidate: its marginal compressed bytes are those that it adds to the text
-around it, with that text and a dictionary of identifiers known to the compressor. A string
-that nothing known explains adds about as many bytes as it has; if its share reaches
-NOVEL, it is reported as `novel`. The share is given for base spans as well.
+Base spans are those of three patterns (assign, access, hex). Beyond them, each long string of a text
+with a sensitive word, before or after it and however far, is a candidate: its marginal compressed
+bytes are those that it adds to the text around it, with that text and a dictionary of identifiers
+known to the compressor. A string that nothing known explains adds about as many bytes as it has; if
+its share reaches NOVEL, it is reported as `novel`. Where a line of a private key's block is reported,
+all its lines are, to the END mark, whatever their share. The share is given for base spans as well.
 
 Null texts count as empty and have no spans. Positions are code points, ends exclusive. Spans
 stand by start, then by kind as listed in KINDS. Equal texts have equal spans.
@@ -13,7 +14,8 @@ stand by start, then by kind as listed in KINDS. Equal texts have equal spans.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
@@ -27,13 +29,17 @@ KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-#: Words that an assign match begins with, and those that make their surroundings sensitive.
+#: Words that an assign match begins with, and those that make their text sensitive.
 ASSIGNED = ("password", "passwd", "secret", "token", "apikey", "api_key")
 SENSITIVE = (*ASSIGNED, "bearer", "credential", "private_key", "private key", "signature", "auth_", "authorization", "access_key", "access key")
 NEAR = re.compile("|".join(map(re.escape, SENSITIVE)), re.A | re.I)
-#: Code points after a sensitive word in which candidates begin, and around a candidate that prime the compressor.
-REACH, AROUND = 48, 1024
+#: Code points around a candidate that prime the compressor.
+AROUND = 1024
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+#: A private key between its marks, and the lines of one that hold nothing but the key.
+BLOCK = re.compile(r"-----BEGIN (?P<what>[A-Z0-9 ]*PRIVATE KEY[A-Z ]*)-----(?P<body>(?:(?!-----BEGIN ).)*?)-----END (?P=what)-----", re.S)
+KEY_LINE = re.compile(r"^[^\S\n]*([A-Za-z0-9+/_=-]+)[^\S\n]*$", re.M)
 #: Share of its bytes that a novel string adds.
 NOVEL = 0.7
 #: Identifiers and words of code that explain a string; fixed values.
@@ -65,6 +71,36 @@ def novelty(text: str, start: int, end: int) -> float:
     return (len(size(around + string)) - len(size(around))) / max(1, len(string))
 
 
+class Taken:
+    """Spans that stand already; asked by overlap."""
+
+    def __init__(self, spans: Sequence[tuple[int, int]]):
+        self.starts, self.ends = [], []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(b, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b)
+        return k > 0 and self.ends[k - 1] > a
+
+
+def candidates(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Each long string's stretches in the order in which they count: after each sensitive word in it, before the first, and whole."""
+    for run in CANDIDATE.finditer(text):
+        a, b = run.span()
+        words = [w.span() for w in NEAR.finditer(text, a, b)]
+        # a word of two parts, such as "access key", ends in the string but begins before it
+        words += [w.span() for w in NEAR.finditer(text, max(0, a - 16), min(len(text), b)) if w.start() < a < w.end()]
+        stretches = [(end, b) for _, end in sorted(words)]
+        if words:
+            stretches.append((a, min(words)[0]))
+        yield [(x, y) for x, y in [*stretches, (a, b)] if y - x >= LEAST]
+
+
 def scan(text: str) -> list[tuple[str, int, int, float]]:
     """kind, start, end and novelty of all spans."""
     found, lowered = [], None
@@ -77,23 +113,29 @@ def scan(text: str) -> list[tuple[str, int, int, float]]:
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
     spans = [(k, a, b, novelty(text, a, b)) for k, a, b in found]
     if near:
-        base, done = sorted((a, b) for _, a, b in found), set()
-        for word in NEAR.finditer(text):
-            for m in CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + REACH + 512)):
-                if m.start() >= word.end() + REACH:
-                    break
-                # the window may cut a longer string: take all of it
-                a, b = m.start(), CANDIDATE.match(text, m.start()).end()
-                if a in done or any(x < b and a < y for x, y in base):
-                    continue
-                done.add(a)
-                string = text[a:b]
-                if any(c.isdigit() for c in string) and any(c.isalpha() for c in string) and (n := novelty(text, a, b)) >= NOVEL:
-                    spans.append(("novel", a, b, n))
-                    base.append((a, b))
+        base, novel = Taken([(a, b) for _, a, b in found]), []
+        for stretches in candidates(text):
+            own = []
+            for a, b in stretches:
+                if not base.meets(a, b) and not any(x < b and a < y for x, y in own) and novelty(text, a, b) >= NOVEL:
+                    own.append((a, b))
+            novel += own
+        novel += key_lines(text, [*novel, *((a, b) for _, a, b in found)])
+        spans += [("novel", a, b, novelty(text, a, b)) for a, b in novel]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def key_lines(text: str, spans: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The lines of private keys' blocks that no span meets, where some line of the block is met."""
+    if "-----BEGIN " not in text:
+        return []
+    taken, out = Taken(spans), []
+    for block in BLOCK.finditer(text):
+        if taken.meets(*block.span("body")):
+            out += [m.span(1) for m in KEY_LINE.finditer(text, *block.span("body")) if not taken.meets(*m.span(1))]
+    return out
+
+
 SPANS = ArrayType(StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("novelty", DoubleType())]))
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("novelty", pa.float64())]))
 
