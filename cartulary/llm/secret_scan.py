@@ -3,8 +3,9 @@
 Base spans are those of three patterns (assign, access, hex). Beyond them, each long string of a text
 with a sensitive word, before or after it and however far, is a candidate: its marginal compressed
 bytes are those that it adds to the text around it, with that text and a dictionary of identifiers
-known to the compressor. A string that nothing known explains adds about as many bytes as it has; if
-its share reaches NOVEL, it is reported as `novel`. Where a line of a private key's block is reported,
+known to the compressor, but not with other copies of the string: a secret does not explain itself.
+A string that nothing known explains adds about as many bytes as it has; if its share reaches NOVEL,
+it is reported as `novel`, in all places where it stands. Where a line of a private key's block is reported,
 all its lines are, to the END mark, whatever their share. The share is given for base spans as well.
 
 Null texts count as empty and have no spans. Positions are code points, ends exclusive. Spans
@@ -63,11 +64,27 @@ def _compressor():
     return zstandard.ZstdCompressor(level=3, dict_data=known, write_content_size=False, write_checksum=False)
 
 
+def before(text: str, start: int, string: str) -> str:
+    """The AROUND code points before start without copies of string, also of one that they hold the end of."""
+    at = max(0, start - AROUND)
+    low = max(0, at - len(string) + 1)
+    first, *rest = text[low:start].split(string)
+    # shorter than what precedes the window: a copy reaches into it
+    return first[at - low :] + "".join(rest)
+
+
+def after(text: str, end: int, string: str) -> str:
+    """The AROUND code points after end without copies of string, also of one that they hold the beginning of."""
+    high = min(len(text), end + AROUND + len(string) - 1)
+    *rest, last = text[end:high].split(string)
+    return "".join(rest) + last[: max(0, len(last) - max(0, high - end - AROUND))]
+
+
 def novelty(text: str, start: int, end: int) -> float:
-    """Share of its own bytes that text[start:end] adds to its surroundings when compressed after them."""
+    """Share of its own bytes that text[start:end] adds to its surroundings, its copies cut out, when compressed after them."""
     size = _compressor().compress
     string = text[start:end].encode()
-    around = (text[max(0, start - AROUND) : start] + "\n" + text[end : end + AROUND] + "\n").encode()
+    around = (before(text, start, text[start:end]) + "\n" + after(text, end, text[start:end]) + "\n").encode()
     return (len(size(around + string)) - len(size(around))) / max(1, len(string))
 
 
@@ -120,11 +137,27 @@ def scan(text: str) -> list[tuple[str, int, int, float]]:
                 if not base.meets(a, b) and not any(x < b and a < y for x, y in own) and novelty(text, a, b) >= NOVEL:
                     own.append((a, b))
             novel += own
+        novel += copies(text, novel, found)
         novel += key_lines(text, [*novel, *((a, b) for _, a, b in found)])
         spans += [("novel", a, b, novelty(text, a, b)) for a, b in novel]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def copies(text: str, novel: Sequence[tuple[int, int]], found: Sequence[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """The other places of novel strings, from the left and the longest first, that no span meets yet."""
+    heads: dict[str, list[str]] = {}
+    for string in sorted({text[a:b] for a, b in novel}, key=len, reverse=True):
+        heads.setdefault(string[:LEAST], []).append(string)
+    out, end, taken = [], 0, Taken([*novel, *((a, b) for _, a, b in found)])
+    for run in CANDIDATE.finditer(text) if heads else ():
+        for a in range(run.start(), run.end() - LEAST + 1):
+            for string in heads.get(text[a : a + LEAST], ()):
+                b = a + len(string)
+                if a >= end and text.startswith(string, a) and not taken.meets(a, b):
+                    out.append((a, end := b))
+    return out
+
+
 def key_lines(text: str, spans: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
     """The lines of private keys' blocks that no span meets, where some line of the block is met."""
     if "-----BEGIN " not in text:

@@ -150,6 +150,26 @@ def test_all_lines_of_a_private_key():
     assert secret_scan.redacted(text, spans, "*") == "a\n-----BEGIN RSA PRIVATE KEY-----\n" + "*\n" * 26 + "-----END RSA PRIVATE KEY-----\nwords\n"
 
 
+def test_a_secret_that_stands_twice_does_not_explain_itself():
+    rng = random.Random(10)
+    key = random_key(rng, 40)
+    for gap in (0, 300, 980, 1020, 3000):
+        text = f"Authorization: Bearer {key}\n" + "words " * (gap // 6) + f"Authorization: Bearer {key}\n"
+        assert novel_strings(text) == [key, key], gap
+    assert novel_strings(f"bearer {key}\nsignature: {key}.1\nx_{key}_y\n" * 3) == [key] * 9
+
+
+def test_surroundings_lose_copies_and_nothing_else():
+    rng = random.Random(11)
+    for _ in range(300):
+        string, a, b = "<0123456789>", rng.randrange(3000), rng.randrange(3000)
+        left, right = (["." for _ in range(3000)] for _ in range(2))
+        left[3000 - a : 3000 - a] = right[b:b] = string
+        text = "".join(left) + string + "".join(right)
+        got = secret_scan.before(text, len(left), string), secret_scan.after(text, len(left) + len(string), string)
+        assert all(set(g) == {"."} and secret_scan.AROUND - len(string) <= len(g) <= secret_scan.AROUND for g in got)
+
+
 # digests
 
 
