@@ -137,6 +137,38 @@ def fact_anchors(clusters: DataFrame, facts: DataFrame) -> DataFrame:
     return first.select("cluster_id", ordinal.alias("ord"), "f.doc_id", "page", F.left("f.span", F.lit(SNIPPET)).alias("snippet"))
 
 
+def clusters_of(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Clusters and their entities of responses (doc_id, response), and the documents that have an answer.
+
+    clusters: doc_id, ord, entity_ord (-1 for a concept), label, type, summary, fact_indices. Elements without label or indices go one by one;
+    a response of which nothing is left is no answer, unless its list is empty.
+    """
+    parsed = responses.select("doc_id", F.from_json(repair("response"), CLUSTERS)["concepts"].alias("c"))
+    whole = lambda x: x["label"].isNotNull() & x["factIndices"].isNotNull()
+    answered = parsed.filter((F.size("c") == 0) | F.exists("c", whole)).filter(F.col("c").isNotNull()).select("doc_id").distinct()
+    each = parsed.select("doc_id", F.posexplode("c").alias("ord", "c")).filter(whole(F.col("c")))
+    fields = lambda x, default: [x["label"].alias("label"), lenient(x["type"], CONCEPT_TYPES, default).alias("type"), x["summary"].alias("summary"), x["factIndices"].alias("fact_indices")]
+    own = each.select("doc_id", "ord", F.lit(-1).alias("entity_ord"), *fields(F.col("c"), "concept"))
+    inner = each.select("doc_id", "ord", F.posexplode("c.entities").alias("entity_ord", "e")).filter(whole(F.col("e")))
+    return own.unionByName(inner.select("doc_id", "ord", "entity_ord", *fields(F.col("e"), "definition"))), answered
+
+
+def cluster_rows(clusters: DataFrame, facts: DataFrame) -> DataFrame:
+    """clusters with the anchors of their facts (anchor_ord, page, snippet), a row each; those without anchors go, a concept with its entities.
+
+    facts: doc_id, fact (ordinal in the document), page, span. An entity's summary counts only where it brings its label.
+    """
+    named = clusters.withColumn("cluster_id", F.concat_ws("|", "doc_id", F.col("ord").cast("string"), F.col("entity_ord").cast("string")))
+    key = lambda fact: F.concat_ws("|", "doc_id", fact.cast("string"))
+    at = fact_anchors(named.select("cluster_id", F.transform("fact_indices", key).alias("fact_indices")), facts.select(key(F.col("fact")).alias("ord"), "doc_id", F.col("page").alias("page_lo"), "span"))
+    rows = named.join(at.select("cluster_id", F.col("ord").alias("anchor_ord"), "page", "snippet"), "cluster_id").drop("cluster_id", "fact_indices")
+    rows = rows.join(rows.filter("entity_ord < 0").select("doc_id", "ord").distinct(), ["doc_id", "ord"], "left_semi")
+    entity = F.col("entity_ord") >= 0
+    place = F.row_number().over(Window.partitionBy(F.lower("label")).orderBy("doc_id", "ord", "entity_ord", "anchor_ord"))
+    rows = rows.withColumn("place", place).withColumn("summary", F.when(~entity | (F.col("place") == 1), F.col("summary"))).drop("place")
+    return rows.withColumns({"level": F.when(entity, "entity").otherwise("concept"), "confidence": F.when(entity, 0.85).otherwise(0.9)})
+
+
 def containment(parents: DataFrame, edge_type: str, existing: DataFrame) -> DataFrame:
     """Edges src, tgt of one type that aren't there yet."""
     return parents.select("src", "tgt").distinct().withColumn("type", F.lit(edge_type)).join(existing.select("src", "tgt", "type"), ["src", "tgt", "type"], "left_anti")

@@ -157,3 +157,33 @@ def test_pipelines_with_a_recorded_model(spark):
     m = {r.label: r.node_id for r in d["nodes"].collect()}
     assert (m["Replication"], m["Helicase"], "dependsOn") in {(r.src, r.tgt, r.type) for r in d["edges"].collect()}
     assert sorted((r.page) for r in d["anchors"].collect() if r.node_id == m["Helicase"]) == [0, 5]
+
+
+def test_deep_pipeline_builds_what_the_clusters_answer_says(spark):
+    p = spark.createDataFrame([(d, k, "Text.") for d in "de" for k in range(7)], "doc_id string, page int, text string")
+
+    def model(prompt):
+        if "sourceLabel" in prompt:
+            return json.dumps([{"sourceLabel": "Copying", "targetLabel": "Fork", "type": "uses"}, {"sourceLabel": "Copying", "targetLabel": "Repair", "type": "dependsOn"}] if "Copying: how" in prompt and "Fork" not in prompt else [])
+        if '"facts"' in prompt:
+            return json.dumps({"facts": [{"claim": c, "textSpan": "span of " + c, "type": "claim"} for c in ("a", "b", "c")]})
+        if " of e " in prompt:
+            return "no answer"
+        assert "0 (claim): a" in prompt and "5 (claim): c" in prompt
+        fork = {"label": "Fork", "type": "strange", "summary": "where", "factIndices": [4]}
+        return json.dumps({"concepts": [{"label": "Copying", "type": "method", "summary": "how", "level": "concept", "factIndices": [3, 1, 0, 99], "entities": [fork, {"label": "Lost", "type": "person", "factIndices": [-1]}]}, {"label": "Repair", "type": "x", "level": "concept", "factIndices": [2]}, {"label": "Empty", "type": "claim", "level": "concept", "factIndices": [77], "entities": [fork | {"label": "Gone"}]}]})
+
+    g = pipelines.deep(p, model)
+    n = {r.label: r for r in g["nodes"].collect() if r.level in ("concept", "entity")}
+    assert {k: (r.type, r.level, r.confidence, r.summary) for k, r in n.items()} == {
+        "Copying": ("method", "concept", 0.9, "how"),
+        "Fork": ("definition", "entity", 0.85, "where"),
+        "Repair": ("concept", "concept", 0.9, None),
+        **{k: ("claim", "concept", 0.9, None) for k in "abc"},
+    }
+    ids = {r.node_id: k for k, r in n.items()}
+    anchors = sorted((ids[r.node_id], r.ord, r.doc_id, r.page, r.snippet) for r in g["anchors"].collect())
+    assert anchors[:4] == [("Copying", 0, "d", 5, "span of a"), ("Copying", 1, "d", 0, "span of b"), ("Fork", 0, "d", 5, "span of b"), ("Repair", 0, "d", 0, "span of c")]
+    assert anchors[4:] == [(k, o, "e", 5 * o, "span of " + k) for k in "abc" for o in (0, 1)]
+    edges = {(ids[r.src], ids[r.tgt], r.type) for r in g["edges"].collect() if r.src in ids and r.tgt in ids}
+    assert edges == {("Copying", "Fork", "containsEntity"), ("Copying", "Repair", "dependsOn")}
