@@ -145,8 +145,7 @@ def force_layout(spark, sf_dir):
     g = Fixture(spark, sf_dir)
     at = g.sql("SELECT concat('n', c_nationkey) AS grp, concat('c', c_custkey) AS node_id, CAST(NULL AS double) AS x, CAST(NULL AS double) AS y, false AS is_fixed, CAST(NULL AS string) AS parent FROM {customer}")
     links = g.edges.filter("type not like 'contains%'").join(at.select("grp", F.col("node_id").alias("src")), "src").select("grp", "src", "tgt")
-    # the settled picture is near after a tenth of the iterations; the operator's own bound is larger
-    return layout.force_layout(at, links, 1200, 800, iterations=50)
+    return layout.force_layout(at, links, 1200, 800)
 
 
 @query()
@@ -156,7 +155,7 @@ def resolve_overlaps(spark, sf_dir):
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("node_id", ignore_index=True)
-        xy = layout.separated(frame[["x", "y"]].to_numpy(float), np.zeros(len(frame), bool), least=20.0)
+        xy = layout.separated(frame[["x", "y"]].to_numpy(float), np.zeros(len(frame), bool))
         return frame.assign(x=xy[:, 0], y=xy[:, 1])
 
     return at.groupBy("grp").applyInPandas(run, at.schema)

@@ -1,11 +1,14 @@
 """Layout invariants, lists and event operators."""
 
+import inspect
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from cartulary.functions import geometry as G
 from cartulary.operators import layout, lists
+from cartulary.plans import state_queries
 from cartulary.streaming import events as E
 from tests.conftest import rows
 
@@ -121,3 +124,16 @@ def test_debounce_in_batch_and_stream(spark, tmp_path):
     q.awaitTermination(120)
     fired = {(r.doc_id, r.payload, r.events) for r in spark.table("saved").collect()}
     assert fired == {("d", "p2", 2), ("e", "q", 1)}  # the last has not been silent long enough yet
+
+
+def test_layout_queries_run_as_far_as_the_operators(spark, monkeypatch):
+    given, run = [], layout.force_layout
+    monkeypatch.setattr(layout, "force_layout", lambda *a, **b: given.append(inspect.signature(run).bind(*a, **b)) or run(*a, **b))
+    assert state_queries.force_layout(spark, "/root/testdata/sf0.001").count() > 0
+    given[0].apply_defaults()
+    assert given[0].arguments["iterations"] == layout.ITERATIONS == 500
+    at = state_queries.resolve_overlaps(spark, "/root/testdata/sf0.001").toPandas()
+    for _, g in at.groupby("grp"):
+        xy = g[["x", "y"]].to_numpy()
+        d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(2)) + np.eye(len(xy)) * 1e9
+        assert d.min() > layout.APART - 1
