@@ -80,15 +80,15 @@ def lzw_encode(samples: bytes, bits: int = 8) -> bytes:
 
 
 def lzw_decode(data: bytes, bits: int, most: int) -> bytes:
-    """The samples of an LZW stream, at most `most`; a damaged stream gives what precedes the damage."""
+    """The samples of an LZW stream, at most `most`; a damaged stream gives what precedes the damage. A full table is kept until a clear code comes."""
     clear, end = 1 << bits, (1 << bits) + 1
     table = _WIDTHS[bits]
     b = np.frombuffer(data + b"\0\0\0\0", np.uint8).astype(np.int64)
-    total, at, size, out = 8 * len(data), 0, 0, []
+    total, at, size, out, met, kept = 8 * len(data), 0, 0, [], 0, False
     basic = [bytes([k]) for k in range(clear)] + [b"", b""]
     while at < total and size < most:
         # the codes up to the next clear code: their widths are known before their values are
-        widths = table[: min(len(table), (total - at) // (bits + 1) + 1)]
+        widths = np.full(min(len(table), (total - at) // 12), 12) if kept else table[: min(len(table), (total - at) // (bits + 1) + 1)]
         starts = at + np.cumsum(widths) - widths
         widths, starts = widths[(inside := starts + widths <= total)], starts[inside]
         if not len(starts):
@@ -97,7 +97,8 @@ def lzw_decode(data: bytes, bits: int, most: int) -> bytes:
         codes = (b[k] | b[k + 1] << 8 | b[k + 2] << 16) >> (starts & 7) & (1 << widths) - 1
         stops = np.flatnonzero((codes == clear) | (codes == end))
         stop = int(stops[0]) if len(stops) else len(codes)
-        entries, before = basic.copy(), None
+        if not kept:
+            entries, before = basic.copy(), None
         add, put = entries.append, out.append
         for code in codes[:stop].tolist():
             if before is None:
@@ -116,10 +117,11 @@ def lzw_decode(data: bytes, bits: int, most: int) -> bytes:
             if len(entries) < 4096:
                 add(before + entry[:1])
             before = entry
-        if stop == len(codes) or codes[stop] == end:
+        if (kept := stop == len(codes)) is False and codes[stop] == end:
             break
-        at = int(starts[stop] + widths[stop])
-        size = sum(map(len, out))
+        last = stop - kept
+        at = int(starts[last] + widths[last])
+        size, met = size + sum(map(len, out[met:])), len(out)
     return b"".join(out)[:most]
 
 

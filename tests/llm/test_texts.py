@@ -380,3 +380,47 @@ def test_the_mix_of_edge_cases(spark):
     empty = df.withColumn("text", F.lit(None).cast("string"))
     rates = source_mix.target_rates(empty, {}).collect()
     assert [r.rate for r in rates] == [1.0]
+
+
+def deferred_lzw(samples, bits, clear_at=None):
+    """A stream whose table is kept when full: 12-bit codes go on, to a clear code before sample clear_at or to the end."""
+    clear, end, packed, n = 1 << bits, (1 << bits) + 1, 0, 0
+    known, size, run, started = {bytes([k]): k for k in range(clear)}, end + 1, b"", False
+
+    def put(code):
+        nonlocal packed, n
+        # the reader's table is one entry behind
+        packed, n = packed | code << n, n + min(12, max(bits + 1, (size - started).bit_length()))
+
+    put(clear)
+    for k, s in enumerate(samples):
+        if k == clear_at:
+            put(known[run])
+            size, started = min(4096, size + 1), True
+            put(clear)
+            known, size, run, started = {bytes([j]): j for j in range(clear)}, end + 1, b"", False
+        if run + bytes([s]) in known:
+            run += bytes([s])
+            continue
+        put(known[run])
+        if size < 4096:
+            known[run + bytes([s])] = size
+            size += 1
+        started, run = True, bytes([s])
+    put(known[run])
+    if size < 4096:
+        size += 1
+    put(end)
+    return packed.to_bytes((n + 7) // 8, "little")
+
+
+def test_a_full_table_is_kept_until_a_clear_code():
+    rng = random.Random(12)
+    for bits, n in ((8, 20_000), (8, 900), (2, 60_000)):
+        samples = bytes(rng.randrange(1 << bits) for _ in range(n))
+        for clear_at in (None, n * 3 // 4):
+            assert gif_media.lzw_decode(deferred_lzw(samples, bits, clear_at), bits, n) == samples
+    samples = bytes(rng.randrange(4) for _ in range(240 * 250))
+    one = lambda stream: b"\x2c\0\0\0\0" + (240).to_bytes(2, "little") + (250).to_bytes(2, "little") + b"\0\x02" + gif_media.blocks(stream)
+    frames = gif_media.decode_gif(gif(240, 250, one(deferred_lzw(samples, 2)), one(gif_media.lzw_encode(samples, 2))))
+    assert len(frames) == 2 and all(f.indices.tobytes() == samples for f in frames)
