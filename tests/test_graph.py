@@ -1,5 +1,6 @@
 """Graph operators on small literal graphs."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from cartulary.operators import fold, graph, merge, search, sync
@@ -163,3 +164,10 @@ def test_proposals_need_documents_apart(spark):
     b = spark.createDataFrame([("b1", "cost function ", ["d2"], "concept"), ("b2", "cost function", ["d1"], "concept"), ("b3", "abd", ["d2"], "concept")], schema)
     got = merge.merge_proposals(a, b, 0.6)
     assert [(r[0], r[1], round(r[4], 3), r[5]) for r in rows(got)] == [("a1", "b1", 1.0, "same label"), ("a2", "b3", 0.667, "similar label")]
+
+
+def test_merges_are_followed_to_the_end_of_any_chain(spark):
+    m = spark.createDataFrame([(f"n{k:03}", f"n{k + 1:03}") for k in range(70)] + [("z", "n005")], "source string, target string")
+    assert rows(merge.resolved_merges(m)) == [(f"n{k:03}", "n070") for k in range(70)] + [("z", "n070")]
+    with pytest.raises(ValueError, match="circle"):
+        merge.resolved_merges(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "a")], "source string, target string"))
