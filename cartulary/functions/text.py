@@ -89,8 +89,8 @@ def percent(confidence: Column) -> Column:
     return (confidence * 100).cast("int")
 
 
-# Signs of formulas.
-FORMULA_SIGNS = "∑∏∫∂∇√∞≈≠≤≥±×÷∈∉⊂⊃∪∩∀∃αβγδεθλμπσφω"
+# Signs of formulas, and of operators.
+FORMULA_SIGNS = "∑∫∂∇≈≠≤≥∈∉⊂⊃∪∩→←⇒⇔∀∃∞αβγδεθλμπσφω"
 OPERATOR_SIGNS = "=+-*/^_{}()[]"
 
 

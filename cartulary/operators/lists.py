@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cartulary.functions.text import trimmed
 
+#: The name of a project without one; a fixed value.
+UNTITLED = "Untitled Project"
+
 
 def most_recent(rows: DataFrame, key: Column, seq: str, cap: int, per: list[str] | None = None) -> DataFrame:
     """The last row of each key by seq, the most recent first, at most cap of them (for each of `per`); place from 1."""
@@ -69,10 +73,36 @@ def reordered(rows: DataFrame, per: str, ident: str, moved: str, to: int) -> Dat
 
 
 def unique_names(names: DataFrame) -> DataFrame:
-    """id, unique_name of names (id, name) added in order of id: a name that is taken, case and accents aside, gets (2), (3) ..."""
-    base = F.expr("regexp_replace(lower(translate(name, 'ÀÁÂÃÄÅàáâãäåÈÉÊËèéêëÌÍÎÏìíîïÒÓÔÕÖòóôõöÙÚÛÜùúûüÇçÑñ', 'AAAAAAaaaaaaEEEEeeeeIIIIiiiiOOOOOoooooUUUUuuuuCcNn')), '\\\\s+', ' ')")
-    turn = F.row_number().over(Window.partitionBy(base).orderBy("id"))
-    return names.withColumn("turn", turn).select("id", F.when(F.col("turn") > 1, F.concat("name", F.lit(" ("), F.col("turn"), F.lit(")"))).otherwise(F.col("name")).alias("unique_name"))
+    """id, unique_name of names (id, name) added in order of id: trimmed; a taken one, case and accents aside, gets the first free of (2), (3) ...
+
+    A blank name becomes UNTITLED, which may stand several times. Only names that are alike but for such suffixes can
+    meet; where all of those are alike, their turn is their number, else they are added one by one.
+    """
+    folded = lambda c: F.expr(f"lower(translate({c}, 'ÀÁÂÃÄÅàáâãäåÈÉÊËèéêëÌÍÎÏìíîïÒÓÔÕÖòóôõöÙÚÛÜùúûüÇçÑñ', 'AAAAAAaaaaaaEEEEeeeeIIIIiiiiOOOOOoooooUUUUuuuuCcNn'))")
+    clean = names.select("id", trimmed(F.coalesce("name", F.lit(""))).alias("name")).withColumn("fold", folded("name"))
+    blank = clean.filter("name = ''").select("id", F.lit(UNTITLED).alias("unique_name"))
+    rows = clean.filter("name <> ''").withColumn("family", F.regexp_replace("fold", r"( \(\d+\))+$", ""))
+    mixed = rows.groupBy("family").agg((F.min("fold") != F.max("fold")).alias("mixed"))
+    rows = rows.join(mixed, "family")
+    turn = F.row_number().over(Window.partitionBy("fold").orderBy("id"))
+    alike = rows.filter("not mixed").withColumn("turn", turn)
+    alike = alike.select("id", F.when(F.col("turn") > 1, F.concat("name", F.lit(" ("), F.col("turn"), F.lit(")"))).otherwise(F.col("name")).alias("unique_name"))
+
+    def one_by_one(family: pd.DataFrame) -> pd.DataFrame:
+        taken, next_free, out = set(), {}, []
+        for name, fold in family.sort_values("id")[["name", "fold"]].itertuples(index=False):
+            k, suffix = next_free.get(fold, 1), ""
+            while fold + suffix in taken:
+                k += 1
+                suffix = f" ({k})"
+            next_free[fold] = k
+            taken.add(fold + suffix)
+            out.append(name + suffix)
+        return pd.DataFrame({"id": family.sort_values("id")["id"], "unique_name": out})
+
+    kind = names.schema["id"].dataType.simpleString()
+    added = rows.filter("mixed").groupBy("family").applyInPandas(one_by_one, f"id {kind}, unique_name string")
+    return alike.unionByName(added).unionByName(blank)
 
 
 def cursor(results: DataFrame, at: int, step: int) -> DataFrame:

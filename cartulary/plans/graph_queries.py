@@ -293,13 +293,13 @@ _PARTS = "SELECT concat('p', p_partkey) AS node_id, p_name AS label, p_brand AS
     with_tables(
         """SELECT id_a, id_b, similarity, CASE WHEN similarity > 0.95 THEN 'same label' ELSE 'similar label' END AS reason FROM (
   SELECT a.node_id AS id_a, b.node_id AS id_b, CASE WHEN lower(trim(a.label)) = lower(trim(b.label)) THEN 1.0 ELSE 1.0 - levenshtein(lower(trim(a.label)), lower(trim(b.label)))::DOUBLE / greatest(length(trim(a.label)), length(trim(b.label))) END AS similarity
-  FROM parts a JOIN parts b ON a.brand = b.brand AND a.size <= 25 AND b.size > 25) WHERE similarity > 0.7""",
-        parts="SELECT concat('p', p_partkey) AS node_id, p_name AS label, p_brand AS brand, p_size AS size FROM part",
+  FROM parts a JOIN parts b ON a.size <= 25 AND b.size > 25) WHERE similarity > 0.7""",
+        parts="SELECT concat('p', p_partkey) AS node_id, p_name AS label, p_size AS size FROM part",
     )
 )
 def fuzzy_merge_proposals(spark, sf_dir):
-    part = Fixture(spark, sf_dir).table("part").select(F.concat(F.lit("p"), "p_partkey").alias("node_id"), F.col("p_name").alias("label"), F.col("p_brand").alias("brand"), F.array(F.concat(F.lit("s"), "p_size")).alias("docs"), "p_size")
-    found = merge.merge_proposals(part.filter("p_size <= 25"), part.filter("p_size > 25"), 0.7, "brand")
+    part = Fixture(spark, sf_dir).table("part").select(F.concat(F.lit("p"), "p_partkey").alias("node_id"), F.col("p_name").alias("label"), F.array(F.concat(F.lit("s"), "p_size")).alias("docs"), "p_size")
+    found = merge.merge_proposals(part.filter("p_size <= 25"), part.filter("p_size > 25"), 0.7)
     return found.select("id_a", "id_b", "similarity", "reason")
 
 

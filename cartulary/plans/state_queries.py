@@ -63,9 +63,22 @@ def page_bookmarks(spark, sf_dir):
     return lists.toggled(Fixture(spark, sf_dir).table("events").select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 9).cast("int").alias("page")))
 
 
-@query("SELECT c_custkey AS id, CASE WHEN t > 1 THEN concat(n, ' (', t, ')') ELSE n END AS unique_name FROM (SELECT c_custkey, concat('Project ', c_mktsegment) AS n, row_number() OVER (PARTITION BY lower(c_mktsegment) ORDER BY c_custkey) AS t FROM customer)")
+#: Names of projects as they are added: repeated, suffixed already, in other case, blank.
+_NAMES = "SELECT c_custkey AS id, CASE WHEN c_custkey % 50 = 0 THEN '  ' WHEN c_custkey % 7 = 0 THEN concat('Project ', c_mktsegment, ' (', c_custkey % 4 + 2, ')') WHEN c_custkey % 11 = 0 THEN concat(' PROJECT ', c_mktsegment) ELSE concat('Project ', c_mktsegment) END AS name FROM {customer}"
+
+
+@query(
+    with_tables(
+        """SELECT id, unique_name FROM step WHERE n > 0 UNION ALL SELECT id, 'Untitled Project' FROM clean WHERE name = ''""",
+        clean=f"SELECT id, trim(name) AS name FROM ({duck(_NAMES)})",
+        named="SELECT id, name, lower(name) AS fold, regexp_replace(lower(name), '( \\(\\d+\\))+$', '') AS family, row_number() OVER (PARTITION BY regexp_replace(lower(name), '( \\(\\d+\\))+$', '') ORDER BY id) AS n FROM clean WHERE name <> ''",
+        step="""SELECT DISTINCT family, 0::BIGINT AS n, []::VARCHAR[] AS taken, NULL::BIGINT AS id, NULL::VARCHAR AS unique_name FROM named
+  UNION ALL SELECT family, n, list_append(taken, lower(fresh)), id, fresh FROM (SELECT r.family, r.n, s.taken, r.id,
+    CASE WHEN list_contains(s.taken, r.fold) THEN concat(r.name, ' (', list_filter(range(2, r.n + 3), lambda i: NOT list_contains(s.taken, concat(r.fold, ' (', i, ')')))[1], ')') ELSE r.name END AS fresh FROM step s JOIN named r ON r.family = s.family AND r.n = s.n + 1)""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+)
 def unique_project_names(spark, sf_dir):
-    return lists.unique_names(Fixture(spark, sf_dir).table("customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("Project "), "c_mktsegment").alias("name")))
+    return lists.unique_names(Fixture(spark, sf_dir).sql(_NAMES))
 
 
 @query("SELECT p_brand AS project_id, concat('p', p_partkey) AS file_id, CAST(CASE WHEN spot IS NULL THEN o WHEN concat('p', p_partkey) = 'p7' THEN least(3, n - 1) WHEN o > spot AND o <= least(3, n - 1) THEN o - 1 WHEN o < spot AND o >= least(3, n - 1) THEN o + 1 ELSE o END AS int) AS ord FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, concat('p', p_partkey)) - 1 AS o, count(*) OVER (PARTITION BY p_brand) AS n FROM part) LEFT JOIN (SELECT b, spot FROM (SELECT p_brand AS b, p_partkey AS k, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, concat('p', p_partkey)) - 1 AS spot FROM part) WHERE k = 7) ON b = p_brand")

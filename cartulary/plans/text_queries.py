@@ -21,10 +21,10 @@ def text_blocks(spark, sf_dir):
     return text.text_blocks(Fixture(spark, sf_dir).pages).select("doc_id", "page", "line_no", "text", "block_type")
 
 
-@query(with_tables("SELECT c.doc_id, c.page AS center, md5(string_agg(concat('--- Page ', p.page + 1, ' ---', chr(10), p.text), chr(10) || chr(10) ORDER BY p.page)) AS digest FROM pg c JOIN pg p ON p.doc_id = c.doc_id AND abs(p.page - c.page) <= 2 WHERE c.page % 5 = 2 GROUP BY c.doc_id, c.page", **P))
+@query(with_tables("SELECT c.doc_id, c.page AS center, md5(string_agg(concat('--- Page ', p.page + 1, ' ---', chr(10), p.text), chr(10) || chr(10) ORDER BY p.page)) AS digest FROM (SELECT doc_id, CAST((page // 5 * 5 + least(page // 5 * 5 + 5, any_value(n))) // 2 AS int) AS page FROM pg JOIN (SELECT doc_id, max(page) + 1 AS n FROM pg GROUP BY doc_id) USING (doc_id) GROUP BY doc_id, page // 5) c JOIN pg p ON p.doc_id = c.doc_id AND abs(p.page - c.page) <= 2 GROUP BY c.doc_id, c.page", **P))
 def context_windows(spark, sf_dir):
     pages = Fixture(spark, sf_dir).pages
-    centers = pages.filter("page % 5 = 2").select("doc_id", F.col("page").alias("center"))
+    centers = text.batches(pages).select("doc_id", "center")
     return text.context_windows(pages, centers).select("doc_id", "center", F.md5("context").alias("digest"))
 
 
@@ -58,21 +58,23 @@ def _measured(spark, sf_dir):
 
 
 _SIGNS = "length(text) - length(translate(text, '{}', ''))"
+#: The lines to classify: some of them end in arrows.
+_SIGNED = "CASE WHEN length(text) % 40 = 0 THEN concat(text, ' →⇒⇔') ELSE text END"
 
 
 @query(
     with_tables(
-        f"""SELECT doc_id, page, line_no, CASE WHEN {_SIGNS.format(T.FORMULA_SIGNS)} > 2 OR (length(text) > 5 AND ({_SIGNS.format(T.OPERATOR_SIGNS)})::DOUBLE / length(text) > 0.3) THEN 'equation'
+        f"""SELECT doc_id, page, line_no, CASE WHEN {_SIGNS.format('∑∫∂∇≈≠≤≥∈∉⊂⊃∪∩→←⇒⇔∀∃∞αβγδεθλμπσφω')} > 2 OR (length(text) > 5 AND ({_SIGNS.format('=+-*/^_{}()[]')})::DOUBLE / length(text) > 0.3) THEN 'equation'
   WHEN h > median_h * 1.4 AND length(text) < 120 THEN 'heading' WHEN length(text) > 3 AND length(text) < 80 AND text = upper(text) AND NOT regexp_matches(text, '[a-z]') THEN 'heading'
   WHEN y < 842 * 0.15 AND length(text) < 200 THEN 'footnote' WHEN h < median_h * 0.7 AND length(text) < 150 THEN 'caption' WHEN lower(text) LIKE 'figure %' OR lower(text) LIKE 'fig. %' THEN 'caption' ELSE 'body' END AS block_type
-FROM (SELECT *, {_HEIGHT} AS h, {_Y} AS y FROM blocks) JOIN (SELECT doc_id, page, list_sort(list({_HEIGHT}))[count(*) // 2 + 1] AS median_h FROM blocks GROUP BY doc_id, page) USING (doc_id, page)""",
+FROM (SELECT doc_id, page, line_no, {_SIGNED} AS text, {_HEIGHT} AS h, {_Y} AS y FROM blocks) JOIN (SELECT doc_id, page, list_sort(list({_HEIGHT}))[count(*) // 2 + 1] AS median_h FROM blocks GROUP BY doc_id, page) USING (doc_id, page)""",
         **B,
     )
 )
 def classify_blocks(spark, sf_dir):
     measured = _measured(spark, sf_dir)
     met = measured.join(text.median_heights(measured), ["doc_id", "page"])
-    return met.select("doc_id", "page", "line_no", T.block_class(F.col("text"), F.col("h"), F.col("median_h"), F.col("y"), F.lit(842)).alias("block_type"))
+    return met.select("doc_id", "page", "line_no", T.block_class(F.expr(_SIGNED), F.col("h"), F.col("median_h"), F.col("y"), F.lit(842)).alias("block_type"))
 
 
 @query(with_tables(f"SELECT doc_id, page, line_no, {_Y} AS y FROM (SELECT * FROM blocks WHERE contains(lower(text), 'hea') ORDER BY doc_id, page, line_no LIMIT 200)", **B))
