@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import ctypes
 import os
-import tempfile
-import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
-#: Rows that a Python worker turns into Python strings at once, and that reach it at once where the session leaves that open.
-ROWS, BATCH_ROWS = 256, 1024
+from cartulary.tables import discard, fresh_path, kept, leave, shared_folder, stored  # noqa: F401  (for the operators)
+
+#: Rows, and bytes of text, that a Python worker turns into Python strings at once (one text at least), and rows that reach it at once where
+#: the session leaves that open.
+ROWS, BYTES, BATCH_ROWS = 256, 16 << 20, 1024
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -36,8 +39,8 @@ def workers_import(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH", ""), ROOT]))
-    # whole texts are wide rows: Spark's own default of 10000 of them would be held twice, in the JVM and the worker
-    if spark.conf.get(BATCHES) == "10000":
+    # whole texts are wide rows: Spark's own default of 10000 of them would be held twice, in the JVM and the worker; a number that was chosen stays
+    if BATCHES not in spark.conf.getAll:
         spark.conf.set(BATCHES, str(BATCH_ROWS))
 
 
@@ -64,57 +67,41 @@ def give_back() -> None:
         pass  # another C library
 
 
+def pieces_of(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of at most ROWS rows and BYTES bytes in its text column, or of one row."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        stop = min(at + ROWS, max(at + 1, int(np.searchsorted(ends, before + BYTES, side="right"))), batch.num_rows)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def map_texts(df: DataFrame, text: str, keep: Sequence[str | tuple[str, Column]], fields: Sequence[tuple[str, DataType]], factory: Callable, *args) -> DataFrame:
     """Columns `keep` as they are, then `fields` computed from each whole text.
 
     keep: names, or (name, expression) pairs. factory(*args), called once a task,
     gives a function from a list of texts (None where null) to one Arrow array for each field.
-    Memory in the worker is bounded by ROWS texts and their results.
+    A kept column whose name, case aside, is that of a field gives way to the field. Memory in
+    the worker is bounded by ROWS texts, or BYTES of them, or one text, and their results; no text is cut.
     """
     workers_import(df.sparkSession)
-    kept = [(col(k).alias(k) if isinstance(k, str) else k[1].alias(k[0])) for k in keep]
-    picked = df.select(*kept, col(text).cast("string").alias("__text"))
+    taken = {n.lower() for n, _ in fields}
+    named = [(k, col(k)) if isinstance(k, str) else k for k in keep]
+    picked = df.select(*(c.alias(n) for n, c in named if n.lower() not in taken), col(text).cast("string").alias("__text"))
     names = [*picked.columns[:-1], *(n for n, _ in fields)]
     schema = StructType([*picked.schema.fields[:-1], *(StructField(n, t) for n, t in fields)])
 
     def run(batches):
         compute = factory(*args)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for part in pieces_of(batch, batch.num_columns - 1):
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *compute(part.column(part.num_columns - 1).to_pylist())], names=names)
 
     return picked.mapInArrow(tidied(run), schema)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only in local mode where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="cartulary-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def stored(df: DataFrame, label: str, partition_by: str | None = None) -> tuple[DataFrame, str]:
-    """Write df as a table in the shared folder, which cuts its lineage, and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def discard(spark: SparkSession, *paths: str) -> None:
-    """Delete tables that later steps no longer read."""
-    for path in paths:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartulary.llm import bpe_tree, gif_media, language_profiles, ngram_join, piece_counts, quartile_digest, secret_scan, source_mix, token_files, url_rules
-from cartulary.llm.common import shared_folder, stored, table
+from cartulary.llm.common import discard, fresh_path, kept, table
 
 #: Training leaves out the documents whose crc32 of the id has this remainder by FOLDS.
 FOLDS, HELD_OUT = 4, 2
@@ -53,10 +51,11 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    folder = fresh_path(spark, "tokens")
     token_files.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, END_ID)
     # decoded once: the table serves the offsets and the rows
-    rows, _ = stored(token_files.read(spark, folder), "token-rows")
+    rows = kept(token_files.read(spark, folder), "token-rows")
+    discard(spark, folder)
     return token_files.placed(rows).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

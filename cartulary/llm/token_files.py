@@ -2,20 +2,27 @@
 
 A file holds segments one after another, each closed by a line feed. A segment holds whole documents:
 
-    magic "CMIX1\\n"; five unsigned 32-bit numbers: documents, ids, blocks, ids a block, bytes of all streams
+    magic "CMIX2\\n"; five unsigned 32-bit numbers: the file's place among all files, documents, blocks, ids (its high and low half are two)
     each document's id (signed 64 bits), whether it has one (a byte), its number of ids (32 bits)
-    each block's bytes, ids and crc32 of its ids as 16-bit numbers (32 bits each)
-    the blocks' streams
+    each block's ids, lanes and crc32 of its ids as 16-bit numbers (32 bits each), then the bytes of each of its lanes (32 bits each)
+    the lanes' streams
 
-All numbers are little-endian. Within a block, two tables predict the next id from the last two ids
-(order 2) and from the last one (order 1). A flag says whether the prediction holds; its probability
-mixes what such predictions have been worth lately with what all have. Where it does not hold, the
-id itself follows: two adaptive distributions of four bits each (order 0), then its low byte. Each
-block begins with fresh tables, so it can be read alone. The blocks of a segment are coded side by
-side, one step for all of them at a time.
+All numbers are little-endian. A block is dealt into lanes, stretches of one length that are coded side by
+side, one id of each at a time, by one common model, which begins empty in each block, so a block can be
+read alone. The model predicts an id by three orders:
+
+    order 2: the id that followed the last two ids lately, trusted as far as it has held
+    order 1: all ids that have followed the last one, by their counts
+    order 0: all ids, by their counts
+
+They are mixed in one distribution. Order 2's id has what such a guess has been worth: by how far it is trusted and by
+what order 1 gives it. Of the rest, order 1 has the share that it has earned where it had met the last id as often, and with
+as many followers; its followers, without order 2's id, divide that by their counts. Order 0 divides what then is left. All of
+that is learned from the ids before, anew after each stretch of steps (a GROWTH longer than all before it).
 
 Nulls count as empty text, which has the end id alone. Null document ids come first. Rows that repeat an
-id stand together, by text. A table without rows gives files without documents.
+id stand together, by a hash of the text, then the text. Ids have to be whole numbers. A document may have any length: its
+ids may fill many blocks. A table without rows gives files without documents. Columns beside those named are ignored.
 """
 
 from __future__ import annotations
@@ -30,117 +37,195 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, IntegralType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from cartulary.llm.common import ROWS, col, tidied, workers_import
-
-MAGIC = b"CMIX1\n"
-#: Ids of a block and, as a bound that closes it, of a segment.
-BLOCK, SEGMENT = 2048, 1 << 22
-#: Bits of the tables of order 1 and 2, of a probability, and by which estimates move.
-ORDER1, ORDER2, BITS, RATE = 9, 10, 10, 4
+from cartulary.llm.common import col, pieces_of, tidied, workers_import
+
+MAGIC = b"CMIX2\n"
+#: Ids of a block; lanes of one, at most, and ids that a lane has at least, if the block has them.
+BLOCK, LANES, STRETCH = 1 << 21, 4096, 256
+#: How many times the steps learned from are those of the next stretch, at least one.
+GROWTH = 0.5
+#: Bits of a probability, of the table of order 2 at most, and of counts: those of order 0 and of a context of order 1.
+BITS, ORDER2, COUNTED0, COUNTED1 = 30, 20, 17, 18
+#: Classes of trust in order 2's guess by its odds in order 1, and of contexts of order 1 by counts and by counts a follower.
+ODDS, FOLLOWED, REPEATED = 10, 24, 8
 #: Bytes of text that a file holds, as expected, and files up to which their offsets go to every executor.
 FILE_BYTES, MOST_SENT = 32 << 20, 100_000
 #: Pieces that each of a worker's two generations remembers.
 REMEMBERED = 500_000
 _WHOLE, _LEAST = 1 << BITS, np.uint64(1 << 40)
 _BITS, _8, _16, _LOW16 = np.uint64(BITS), np.uint64(8), np.uint64(16), np.uint32(0xFFFF)
-#: Where the steps of a distribution of 16 go when one of them came: near none below it, near the whole above.
-_GOALS = np.array([[k if k <= s else _WHOLE - 16 + k for k in range(17)] for s in range(16)], np.int16)
-_GOALS_DOWN = np.ascontiguousarray(_GOALS.T)
-
-
-class Predictor:
-    """The state of all blocks, one lane each. Table entries hold an id and, above it, how far it is trusted (0 to 3)."""
-
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.place1, self.place2 = self.lane << ORDER1, self.lane << ORDER2
-        self.place8, self.place4, self.place16 = self.lane << 3, self.lane << 2, self.lane << 4
-        self.first, self.second = np.zeros(lanes << ORDER1, np.uint32), np.zeros(lanes << ORDER2, np.uint32)
-        #: Chance that a prediction holds, by order and trust; and of all lately, by how the last two went.
-        self.worth, self.lately = np.full(lanes * 8, _WHOLE // 2, np.int32), np.full(lanes * 4, _WHOLE // 2, np.int32)
-        flat = np.arange(17, dtype=np.int16) * (_WHOLE // 16)
-        #: Steps of the distributions of the highest four bits (a column a lane) and of the next four (a row a lane and highest four).
-        self.high, self.next = np.repeat(flat[:, None], lanes, 1), np.tile(flat, (lanes * 16, 1))
-        self.last = self.before = np.zeros(lanes, np.uint32)
-        self.past = np.zeros(lanes, np.int64)
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray]:
-        """The predicted id and the chance that it holds, of _WHOLE."""
-        last = self.last
-        self.at1 = self.place1 + (last * np.uint32(0x9E3779B1) >> np.uint32(32 - ORDER1))
-        self.at2 = self.place2 + ((last * np.uint32(0x85EBCA77) ^ self.before * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - ORDER2))
-        self.one, self.two = self.first.take(self.at1), self.second.take(self.at2)
-        # order 2 where it has met the two, in contexts 5 to 7; else order 1, in 0 to 3
-        entry = np.where(self.two > _LOW16, self.two + np.uint32(4 << 16), self.one)
-        self.context, self.recent = self.place8 + (entry >> np.uint32(16)), self.place4 + self.past
-        self.w, self.r = self.worth.take(self.context), self.lately.take(self.recent)
-        return entry & _LOW16, np.clip(self.w * 3 + self.r >> 2, 4, _WHOLE - 4).astype(np.uint64)
-
-    def high_steps(self, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        flat, at = self.high.ravel(), top * len(self.lane) + self.lane
-        return flat.take(at).astype(np.uint64), flat.take(at + len(self.lane)).astype(np.uint64)
-
-    def next_steps(self, top: np.ndarray, then: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        flat, at = self.next.ravel(), (self.place16 + top) * 17 + then
-        return flat.take(at).astype(np.uint64), flat.take(at + 1).astype(np.uint64)
-
-    def learn(self, ids: np.ndarray, held: np.ndarray) -> None:
-        goal = held.astype(np.int32) << BITS
-        self.worth[self.context] = self.w + (goal - self.w >> RATE)
-        self.lately[self.recent] = self.r + (goal - self.r >> RATE)
-        self.past = self.past << 1 & 2 | held
-        for table, at, entry in ((self.first, self.at1, self.one), (self.second, self.at2, self.two)):
-            trust = np.minimum((entry >> np.uint32(16)) + np.uint32(1), np.uint32(3))
-            trust[(entry & _LOW16) != ids] = 1
-            table[at] = ids | trust << np.uint32(16)
-        self.before, self.last = self.last, ids
-        top, then = _parts(ids)
-        for table, at, goals in ((self.high, slice(None), _GOALS_DOWN.take(top, axis=1)), (self.next, self.place16 + top, _GOALS.take(then, axis=0))):
-            steps = table[at]
-            table[at] = steps + (goals - steps >> RATE)
-
-
-def _parts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The highest four of an id's 16 bits, and the next four."""
-    return (ids >> np.uint32(12)).astype(np.intp), (ids >> np.uint32(8) & np.uint32(15)).astype(np.intp)
-
-
-def encode_blocks(blocks: np.ndarray) -> list[bytes]:
-    """The stream of each row of 16-bit ids."""
-    lanes, steps = blocks.shape
-    p, columns = Predictor(lanes), np.ascontiguousarray(blocks.T).astype(np.uint32)
+#: What an id was coded by.
+GUESSED, FOLLOWS, OTHER = 0, 1, 2
+
+
+def _magnitude(x: np.ndarray) -> np.ndarray:
+    """Binary digits of whole numbers."""
+    return np.frexp(x.astype(np.float64))[1]
+
+
+def stretches(steps: int) -> list[tuple[int, int]]:
+    """The steps between which the model learns: begin and end of each stretch."""
+    ends = [0]
+    while ends[-1] < steps:
+        ends.append(min(steps, ends[-1] + max(1, int(ends[-1] * GROWTH))))
+    return list(zip(ends, ends[1:], strict=False))
+
+
+class Weights:
+    """How the orders share the whole at some contexts: arrays, one entry a context."""
+
+    def __init__(self, m: Model, last: np.ndarray, before: np.ndarray):
+        self.at2 = (last * np.uint32(0x85EBCA77) ^ before * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - m.order2)
+        self.entry = m.table.take(self.at2)
+        self.guess, trust = self.entry & _LOW16, (self.entry >> np.uint32(16)).astype(np.int64)
+        guessed = trust > 0
+        place, known = m.find(last, self.guess)
+        #: What order 1 counts for the guess, where its part begins, and for all others.
+        self.own = np.where(known & guessed, m.counts.take(place), 0)
+        self.base = m.base.take(last)
+        self.cut = m.cum1.take(place) - self.base
+        met = m.base.take(last + 1) - self.base
+        followers = m.row.take(last + 1) - m.row.take(last)
+        self.rest = met - self.own
+        odds = np.minimum(ODDS - 2, _magnitude((met + 1) // (self.own + 1))) + (self.own == 0)
+        #: Classes from which the masses are learned; 0 where an order has nothing to say.
+        self.class2 = np.where(guessed, trust * ODDS + odds, 0)
+        self.mass2 = np.where(guessed, m.worth2.take(self.class2), 0)
+        repeated = np.minimum(REPEATED - 1, _magnitude(met // np.maximum(followers, 1)))
+        self.class1 = np.where(self.rest > 0, (guessed * FOLLOWED + _magnitude(met)) * REPEATED + repeated, 0)
+        self.mass1 = np.where(self.rest > 0, (_WHOLE - self.mass2) * m.worth1.take(self.class1) >> 16, 0)
+        self.mass0 = _WHOLE - self.mass2 - self.mass1
+
+    def followers_part(self, m: Model, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and size, within the whole, of the parts of order 1's entries at place, the guess cut out."""
+        begin = m.cum1.take(place) - self.base
+        begin = np.where(begin > self.cut, begin - self.own, begin)
+        rest = np.maximum(self.rest, 1)
+        low = begin * self.mass1 // rest
+        return self.mass2 + low, (begin + m.counts.take(place)) * self.mass1 // rest - low
+
+
+class Model:
+    """What a block's ids so far say of the next. Counts and classes are arrays of whole numbers, so any machine gives the same."""
+
+    def __init__(self, ids: int):
+        self.order2 = min(ORDER2, max(8, ids.bit_length()))
+        #: Order 2: the id that came last after a hash of two, and above it how far it is trusted (1 to 3; 0: none yet).
+        self.table = np.zeros(1 << self.order2, np.uint32)
+        #: Order 1: sorted pairs (an id, its follower) and their counts; the last of all pairs is there before it is met.
+        self.pairs, self.counts = np.array([2**32 - 1], np.uint32), np.zeros(1, np.int64)
+        self.seen = np.zeros(1 << 16, np.int64)
+        #: Tried and held, by class.
+        self.tried2, self.held2 = np.zeros((2, 4 * ODDS), np.int64)
+        self.tried1, self.held1 = np.zeros((2, 2 * FOLLOWED * REPEATED), np.int64)
+        self.settle()
+
+    def settle(self) -> None:
+        """Make of the counts what weighing and coding look up."""
+        self.cum0 = np.concatenate([[0], np.cumsum(1 + (self.seen << COUNTED0) // max(1, int(self.seen.sum())))])
+        self.cum1 = np.concatenate([[0], np.cumsum(self.counts)])
+        self.row = np.concatenate([[0], np.cumsum(np.bincount(self.pairs >> np.uint32(16), minlength=1 << 16))])
+        self.base = self.cum1[self.row]
+        # every part stays wide enough for the finest division below it
+        self.worth2 = np.clip((2 * self.held2 + 1) * _WHOLE // (2 * self.tried2 + 2), 1 << 18, _WHOLE - (1 << 24))
+        self.worth1 = np.clip(((2 * self.held1 + 1) << 16) // (2 * self.tried1 + 2), 1 << 12, (1 << 16) - (1 << 10))
+
+    def find(self, last: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pairs stand or would, and whether they do."""
+        wanted = last << np.uint32(16) | ids
+        place = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
+        return place, (self.pairs.take(place) == wanted) & (self.counts.take(place) > 0)
+
+    def parts(self, w: Weights, last: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begin and size of each id's part of the whole, and what codes it."""
+        guessed = (w.class2 > 0) & (w.guess == ids)
+        place, known = self.find(last, ids)
+        by = np.where(guessed, GUESSED, np.where(known & (w.rest > 0), FOLLOWS, OTHER))
+        begin1, size1 = w.followers_part(self, place)
+        total = int(self.cum0[-1])
+        low, high = self.cum0.take(ids) * w.mass0 // total, self.cum0.take(ids + 1) * w.mass0 // total
+        begin = np.where(by == GUESSED, 0, np.where(by == FOLLOWS, begin1, w.mass2 + w.mass1 + low))
+        return begin.astype(np.uint64), np.where(by == GUESSED, w.mass2, np.where(by == FOLLOWS, size1, high - low)).astype(np.uint64), by
+
+    def which(self, w: Weights, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The ids whose parts hold the values, those parts' begin and size, and what codes them."""
+        inner = value - w.mass2
+        by = np.where(inner < 0, GUESSED, np.where(inner < w.mass1, FOLLOWS, OTHER))
+        count = ((inner + 1) * w.rest - 1) // np.maximum(w.mass1, 1)
+        place = np.searchsorted(self.cum1, w.base + np.where(count >= w.cut, count + w.own, count), side="right") - 1
+        place = np.minimum(place, len(self.pairs) - 1)
+        begin, size = w.followers_part(self, place)
+        ids = np.where(by == GUESSED, w.guess, self.pairs.take(place) & _LOW16)
+        begin, size = np.where(by == GUESSED, 0, begin), np.where(by == GUESSED, w.mass2, size)
+        if len(at := np.flatnonzero(by == OTHER)):
+            mass, total = w.mass0[at], int(self.cum0[-1])
+            found = np.searchsorted(self.cum0, ((inner[at] - w.mass1[at] + 1) * total - 1) // mass, side="right") - 1
+            low = self.cum0.take(found) * mass // total
+            ids[at], begin[at], size[at] = found, _WHOLE - mass + low, self.cum0.take(found + 1) * mass // total - low
+        return ids, begin.astype(np.uint64), size.astype(np.uint64), by
+
+    def learn(self, ids: np.ndarray, last: np.ndarray, at2: np.ndarray, entry: np.ndarray, class2: np.ndarray, class1: np.ndarray, by: np.ndarray) -> None:
+        """Take in a stretch: what came where, and what coded it."""
+        self.tried2 += np.bincount(class2, minlength=len(self.tried2))
+        self.held2 += np.bincount(class2[by == GUESSED], minlength=len(self.held2))
+        self.tried1 += np.bincount(class1[by != GUESSED], minlength=len(self.tried1))
+        self.held1 += np.bincount(class1[by == FOLLOWS], minlength=len(self.held1))
+        trust = np.where((entry & _LOW16) == ids, np.minimum((entry >> np.uint32(16)) + np.uint32(1), np.uint32(3)), np.uint32(1))
+        self.table[at2] = ids | trust << np.uint32(16)  # of a context met more than once, the last counts
+        self.seen += np.bincount(ids, minlength=1 << 16)
+        pairs, counts = np.unique(last << np.uint32(16) | ids, return_counts=True)
+        both, counts = np.concatenate([self.pairs, pairs]), np.concatenate([self.counts, counts])
+        order = np.argsort(both, kind="stable")
+        both = both[order]
+        first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+        self.pairs, self.counts = both[first], np.add.reduceat(counts[order], first)
+        # old counts of a context give way where it has very many
+        of = self.pairs >> np.uint32(16)
+        large = np.bincount(of, weights=self.counts, minlength=1 << 16) > 1 << COUNTED1
+        self.counts = np.where(large.take(of), self.counts + 1 >> 1, self.counts)
+        self.settle()
+
+
+def lanes_of(ids: int) -> int:
+    return max(1, min(LANES, ids // STRETCH))
+
+
+def encode_block(ids: np.ndarray) -> list[bytes]:
+    """The stream of each lane of a block's ids."""
+    lanes = lanes_of(len(ids))
+    steps = -(-len(ids) // lanes)
+    padded = np.zeros(lanes * steps, np.uint32)  # the last lane is filled up with id 0
+    padded[: len(ids)] = ids
+    # two empty steps stand before the first
+    columns = np.concatenate([np.zeros((2, lanes), np.uint32), padded.reshape(lanes, steps).T])
+    m = Model(len(padded))
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 56, np.uint64)
-    digits = np.zeros((lanes, steps * 3 + 8), np.int32)
+    digits = np.zeros((lanes, 2 * steps + 8), np.int32)
     filled = np.ones(lanes, np.int64)  # the first digit takes a carry alone
-    for ids in columns:
-        guess, chance = p.predict()
-        held, (top, then) = guess == ids, _parts(ids)
-        unit = span >> _BITS
-        part = unit * chance
-        # the way of a miss is gone in all lanes, and left where the prediction holds
-        x, s = low + part, (unit << _BITS) - part
-        for begin, end in (p.high_steps(top), p.next_steps(top, then)):
-            unit = s >> _BITS
-            x += unit * begin
-            s = unit * (end - begin)
-        s >>= _8
-        x += s * (ids & np.uint32(255))
-        low, span = np.where(held, low, x), np.where(held, part, s)
-        while len(small := np.flatnonzero(span < _LEAST)):
-            v = low[small]
-            digits[small, filled[small]] = v >> np.uint64(40)
-            filled[small] += 1
-            low[small] = (v & np.uint64((1 << 40) - 1)) << _16
-            span[small] <<= _16
-        p.learn(ids, held)
+    for a, b in stretches(steps):
+        now, last, before = columns[a + 2 : b + 2].ravel(), columns[a + 1 : b + 1].ravel(), columns[a:b].ravel()
+        w = Weights(m, last, before)
+        begins, sizes, by = m.parts(w, last, now)
+        for begin, size in zip(begins.reshape(-1, lanes), sizes.reshape(-1, lanes), strict=True):
+            unit = span >> _BITS
+            low += unit * begin
+            span = unit * size
+            while len(small := np.flatnonzero(span < _LEAST)):
+                v = low[small]
+                digits[small, filled[small]] = v >> np.uint64(40)
+                filled[small] += 1
+                low[small] = (v & np.uint64((1 << 40) - 1)) << _16
+                span[small] <<= _16
+        m.learn(now, last, w.at2, w.entry, w.class2, w.class1, by)
+    lane = np.arange(lanes)
     for shift in (40, 24, 8):
-        digits[p.lane, filled] = low >> np.uint64(shift)
+        digits[lane, filled] = low >> np.uint64(shift)
         low &= np.uint64((1 << shift) - 1)
         filled += 1
-    digits[p.lane, filled] = low << _8
+    digits[lane, filled] = low << _8
     filled += 1
     for k in range(digits.shape[1] - 1, 0, -1):  # carries, from the last digit up
         over = digits[:, k] >> 16
@@ -150,94 +235,90 @@ def encode_blocks(blocks: np.ndarray) -> list[bytes]:
     return [d[1:n].astype("<u2").tobytes() for d, n in zip(digits, filled.tolist(), strict=True)]
 
 
-def decode_blocks(streams: list[bytes], steps: int) -> np.ndarray:
-    """The rows of ids that encode_blocks was given, steps of each."""
+def decode_block(streams: list[bytes], n: int) -> np.ndarray:
+    """The n ids that encode_block was given."""
     lanes = len(streams)
-    p, out = Predictor(lanes), np.zeros((steps, lanes), np.uint16)
-    width = max(map(len, streams), default=0) // 2 + 8
+    steps = -(-n // lanes)
+    width = max(map(len, streams)) // 2 + 8
     digits = np.zeros((lanes, width), np.uint64)
     for k, stream in enumerate(streams):
         digits[k, : len(stream) // 2] = np.frombuffer(stream, "<u2")
-    flat, at = digits.ravel(), p.lane * width + 4
+    flat, at = digits.ravel(), np.arange(lanes) * width + 4
     # the code holds 56 bits: the fourth digit gives a byte now and keeps a byte for later
     code = digits[:, 0] << np.uint64(40) | digits[:, 1] << np.uint64(24) | digits[:, 2] << _8 | digits[:, 3] >> _8
     spare, span = digits[:, 3] & np.uint64(255), np.full(lanes, 1 << 56, np.uint64)
-    for step in range(steps):
-        guess, chance = p.predict()
-        unit = span >> _BITS
-        part = unit * chance
-        held = code < part
-        c, s = code - part, (unit << _BITS) - part
-        unit = s >> _BITS
-        value = np.minimum(c // unit, np.uint64(_WHOLE - 1)).astype(np.int16)
-        top = (p.high[1:16] <= value).view(np.uint8).sum(0, dtype=np.uint8).astype(np.intp)
-        begin, end = p.high_steps(top)
-        c -= unit * begin
-        s = unit * (end - begin)
-        unit = s >> _BITS
-        value = np.minimum(c // unit, np.uint64(_WHOLE - 1)).astype(np.int16)
-        then = (p.next.take(p.place16 + top, axis=0)[:, 1:16] <= value[:, None]).view(np.uint8).sum(1, dtype=np.uint8).astype(np.intp)
-        begin, end = p.next_steps(top, then)
-        c -= unit * begin
-        s = unit * (end - begin) >> _8
-        byte = np.minimum(c // s, np.uint64(255))
-        c -= s * byte
-        ids = np.where(held, guess, (top << 12 | then << 8).astype(np.uint32) | byte.astype(np.uint32))
-        code, span = np.where(held, code, c), np.where(held, part, s)
-        while len(small := np.flatnonzero(span < _LEAST)):
-            here = at[small]
-            at[small] = here + 1
-            digit = flat.take(here, mode="clip")
-            code[small] = code[small] << _16 | spare[small] << _8 | digit >> _8
-            spare[small] = digit & np.uint64(255)
-            span[small] <<= _16
-        out[step] = ids
-        p.learn(ids, held)
-    return np.ascontiguousarray(out.T)
-
-
-def write_segment(idents: list[int | None], ids: list[np.ndarray]) -> bytes:
-    """The bytes of a segment; ids: 16-bit numbers of each document."""
+    m, columns = Model(lanes * steps), np.zeros((steps + 2, lanes), np.uint32)
+    for a, b in stretches(steps):
+        learned = []
+        for step in range(a, b):
+            w = Weights(m, columns[step + 1], columns[step])
+            unit = span >> _BITS
+            # a damaged stream may ask for more than there is; its checksum tells
+            ids, begin, size, by = m.which(w, np.minimum(code // unit, np.uint64(_WHOLE - 1)).astype(np.int64))
+            code, span = code - unit * begin, unit * np.maximum(size, np.uint64(1))
+            while len(small := np.flatnonzero(span < _LEAST)):
+                here = at[small]
+                at[small] = here + 1
+                digit = flat.take(here, mode="clip")
+                code[small] = code[small] << _16 | spare[small] << _8 | digit >> _8
+                spare[small] = digit & np.uint64(255)
+                span[small] <<= _16
+            columns[step + 2] = ids
+            learned.append((w.at2, w.entry, w.class2, w.class1, by))
+        m.learn(columns[a + 2 : b + 2].ravel(), columns[a + 1 : b + 1].ravel(), *map(np.concatenate, zip(*learned, strict=True)))
+    return columns[2:].T.ravel()[:n].astype(np.uint16)
+
+
+def write_segment(part: int, idents: list[int | None], ids: list[np.ndarray]) -> bytes:
+    """The bytes of a segment of file `part`; ids: 16-bit numbers of each document."""
     sizes = np.array(list(map(len, ids)), "<u4")
     flat = np.concatenate([*ids, np.zeros(0, np.uint16)]).astype("<u2")
-    block = min(BLOCK, max(1, len(flat)))
-    lanes = -(-len(flat) // block)
-    padded = np.zeros(lanes * block, np.uint16)  # the last block is filled up with id 0
-    padded[: len(flat)] = flat
-    streams = encode_blocks(padded.reshape(lanes, block)) if lanes else []
-    counts = [min(block, len(flat) - k * block) for k in range(lanes)]
-    table = np.array([[len(s), c, zlib.crc32(flat[k * block : k * block + c].tobytes())] for k, (s, c) in enumerate(zip(streams, counts, strict=True))], "<u4").reshape(-1, 3)
-    head = np.array([len(ids), len(flat), lanes, block, sum(map(len, streams))], "<u4")
+    table, streams = [], []
+    for at in range(0, len(flat), BLOCK):
+        block = flat[at : at + BLOCK]
+        coded = encode_block(block)
+        table += [len(block), len(coded), zlib.crc32(block.tobytes()), *map(len, coded)]
+        streams += coded
+    head = np.array([part, len(ids), -(-len(flat) // BLOCK), len(flat) >> 32, len(flat) & 0xFFFFFFFF], "<u4")
     named = np.array([i if i is not None else 0 for i in idents], "<i8"), np.array([i is not None for i in idents], np.uint8)
-    return b"".join([MAGIC, head.tobytes(), named[0].tobytes(), named[1].tobytes(), sizes.tobytes(), table.tobytes(), *streams, b"\n"])
+    return b"".join([MAGIC, head.tobytes(), named[0].tobytes(), named[1].tobytes(), sizes.tobytes(), np.array(table, "<u4").tobytes(), *streams, b"\n"])
 
 
-def read_segments(data: bytes) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
-    """Of each segment: the documents' ids, their numbers of ids, and all ids (16 bits). A damaged one raises ValueError."""
+def read_segments(data: bytes) -> Iterator[tuple[int, list[int | None], np.ndarray, np.ndarray]]:
+    """Of each segment: its file's place, the documents' ids, their numbers of ids, and all ids (16 bits). A damaged one raises ValueError."""
     at = 0
+
+    def numbers(kind: str, n: int) -> np.ndarray:
+        nonlocal at
+        size = np.dtype(kind).itemsize * n
+        if at + size > len(data):
+            raise ValueError(f"a segment is cut at byte {at}")
+        at += size
+        return np.frombuffer(data, kind, n, at - size)
+
     while at < len(data):
         if data[at : at + len(MAGIC)] != MAGIC:
             raise ValueError(f"no segment at byte {at}")
         at += len(MAGIC)
-        n, total, lanes, block, size = np.frombuffer(data, "<u4", 5, at).tolist()
-        at += 20
-        idents = np.frombuffer(data, "<i8", n, at).tolist()
-        named = np.frombuffer(data, np.uint8, n, at + 8 * n).tolist()
-        sizes = np.frombuffer(data, "<u4", n, at + 9 * n)
-        at += 13 * n
-        table = np.frombuffer(data, "<u4", 3 * lanes, at).reshape(-1, 3).astype(np.int64)
-        at += 12 * lanes
-        ends = at + np.cumsum(table[:, 0])
-        streams = [data[e - s : e] for e, s in zip(ends.tolist(), table[:, 0].tolist(), strict=True)]
-        at += size
+        part, n, blocks, high, low = numbers("<u4", 5).tolist()
+        idents, named, sizes = numbers("<i8", n).tolist(), numbers("u1", n).tolist(), numbers("<u4", n)
+        table = []
+        for _ in range(blocks):
+            count, lanes, crc = numbers("<u4", 3).tolist()
+            table.append((count, crc, numbers("<u4", lanes).tolist()))
+        out = []
+        for k, (count, crc, lengths) in enumerate(table):
+            decoded = decode_block([numbers("u1", size).tobytes() for size in lengths], count)
+            if zlib.crc32(decoded.astype("<u2").tobytes()) != crc:
+                raise ValueError(f"block {k} is damaged")
+            out.append(decoded)
         if data[at : at + 1] != b"\n":
             raise ValueError(f"a segment is cut at byte {at}")
         at += 1
-        decoded = decode_blocks(streams, block) if lanes else np.zeros((0, block), np.uint16)
-        for k, (count, crc) in enumerate(table[:, 1:].tolist()):
-            if zlib.crc32(decoded[k, :count].astype("<u2").tobytes()) != crc:
-                raise ValueError(f"block {k} is damaged")
-        yield [i if x else None for i, x in zip(idents, named, strict=True)], sizes, decoded.ravel()[:total]
+        ids = np.concatenate([*out, np.zeros(0, np.uint16)])
+        if len(ids) != high << 32 | low or int(sizes.sum(dtype=np.int64)) != len(ids):
+            raise ValueError("a segment's documents and blocks differ")
+        yield part, [i if x else None for i, x in zip(idents, named, strict=True)], sizes, ids
 
 
 class Encoder(dict):
@@ -295,50 +376,55 @@ def encoder(path: str, pattern: str) -> Encoder:
 
 def write(df: DataFrame, folder: str, tokenizer: str, pattern: str, end_id: int, ident: str = "doc_id", text: str = "text") -> None:
     """Write the ids of all texts, each closed by end_id, to files in folder, in ascending order of ident."""
-    workers_import(df.sparkSession)
+    spark = df.sparkSession
+    workers_import(spark)
+    if not isinstance(df.schema[ident].dataType, IntegralType):
+        raise ValueError(f"{ident} has to be a column of whole numbers")
     rows = df.select(col(ident).cast("long").alias("ident"), F.coalesce(col(text).cast("string"), F.lit("")).alias("text"))
     volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    files = max(1, -(-volume // FILE_BYTES), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    order = F.col("ident").asc_nulls_first()
-    dealt = rows.repartitionByRange(files, order).sortWithinPartitions(order, "text")
+    files = max(1, -(-volume // FILE_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # the hash lets rows of one id, or of none, fill more than one file
+    order = [F.col("ident").asc_nulls_first(), F.xxhash64("text").asc()]
+    dealt = rows.repartitionByRange(files, *order).sortWithinPartitions(*order, "text")
     end = int(end_id).to_bytes(2, "little")
 
     def run(batches):
-        e = encoder(tokenizer, pattern)
+        from pyspark import TaskContext
+
+        e, part = encoder(tokenizer, pattern), TaskContext.get().partitionId()
         idents, ids, size = [], [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                idents += part.column(0).to_pylist()
-                new = [np.frombuffer(x + end, "<u2") for x in e.encode(part.column(1).to_pylist())]
+            for piece in pieces_of(batch, 1):
+                idents += piece.column(0).to_pylist()
+                new = [np.frombuffer(x + end, "<u2") for x in e.encode(piece.column(1).to_pylist())]
                 ids += new
                 size += sum(map(len, new))
-                if size >= SEGMENT:
-                    yield pa.RecordBatch.from_arrays([pa.array([write_segment(idents, ids)], pa.binary())], names=["value"])
+                if size >= BLOCK:
+                    yield pa.RecordBatch.from_arrays([pa.array([write_segment(part, idents, ids)], pa.binary())], names=["value"])
                     idents, ids, size = [], [], 0
         if ids:
-            yield pa.RecordBatch.from_arrays([pa.array([write_segment(idents, ids)], pa.binary())], names=["value"])
+            yield pa.RecordBatch.from_arrays([pa.array([write_segment(part, idents, ids)], pa.binary())], names=["value"])
 
-    # the segments' own last byte is the line feed that the writer puts after a row
+    # the segments' own last byte is the line feed that the writer puts after a row; Spark's strings carry any bytes
     segments = dealt.mapInArrow(tidied(run), StructType([StructField("value", BinaryType())]))
-    segments.select(F.expr("cast(substring(value, 1, length(value) - 1) as string)").alias("value")).write.text(folder)
+    segments.select(F.expr("cast(substring(value, 1, length(value) - 1) as string)").alias("value")).write.option("maxRecordsPerFile", 0).text(folder)
 
 
 def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, start (ids of all documents before it in the files' order), n_tokens, ids_crc32 of each document; its packed 16-bit ids if asked for."""
+    """part (the file's place), doc_id, start (ids of all documents before it in its file), n_tokens, ids_crc32 of each document; its packed 16-bit ids if asked for."""
     workers_import(spark)
-    found = spark.read.format("binaryFile").load(folder).select("path", "content")
-    fields = [StructField("path", StringType()), StructField("doc_id", LongType()), StructField("start", LongType()), StructField("n_tokens", LongType()), StructField("ids_crc32", LongType())] + [StructField("packed_ids", BinaryType())] * with_ids
+    found = spark.read.format("binaryFile").load(folder).select("content")
+    fields = [StructField("part", IntegerType()), StructField("doc_id", LongType()), StructField("start", LongType()), StructField("n_tokens", LongType()), StructField("ids_crc32", LongType())] + [StructField("packed_ids", BinaryType())] * with_ids
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                path, start = batch.column(0)[k].as_py(), 0
-                for idents, sizes, ids in read_segments(batch.column(1)[k].as_py()):
+                start = 0
+                for part, idents, sizes, ids in read_segments(batch.column(0)[k].as_py()):
                     ends = np.cumsum(sizes, dtype=np.int64)
                     wide = ids.astype("<u4")
                     crcs = [zlib.crc32(wide[e - s : e].tobytes()) for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
-                    columns = [pa.array([path] * len(idents)), pa.array(idents, pa.int64()), pa.array(start + ends - sizes), pa.array(sizes.astype(np.int64)), pa.array(crcs, pa.int64())]
+                    columns = [pa.array([part] * len(idents), pa.int32()), pa.array(idents, pa.int64()), pa.array(start + ends - sizes), pa.array(sizes.astype(np.int64)), pa.array(crcs, pa.int64())]
                     if with_ids:
                         columns.append(pa.array([ids[e - s : e].astype("<u2").tobytes() for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary()))
                     start += int(ends[-1]) if len(ends) else 0
@@ -348,10 +434,10 @@ def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
 
 
 def placed(rows: DataFrame) -> DataFrame:
-    """Rows of read() with start counted over all files, which stand in order of their names."""
-    sizes = rows.groupBy("path").agg(F.sum("n_tokens").alias("ids"))
+    """Rows of read() with start counted over all files, which stand in the order of their places, not of their names."""
+    sizes = rows.groupBy("part").agg(F.sum("n_tokens").alias("ids"))
     # a row for each file, however many documents there are
-    before = sizes.select("path", F.coalesce(F.sum("ids").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    before = sizes.select("part", F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     if before.count() <= MOST_SENT:
         before = F.broadcast(before)
-    return rows.join(before, "path").withColumn("start", F.col("start") + F.col("before")).drop("path", "before")
+    return rows.join(before, "part").withColumn("start", F.col("start") + F.col("before")).drop("part", "before")

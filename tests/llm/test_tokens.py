@@ -1,20 +1,25 @@
 """BPE encoding and decoding, piece counts and token files against the libraries."""
 
 import base64
+import math
+import os
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 import tiktoken
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from cartulary.llm import bpe_tree, piece_counts, token_files
 
+SF = "/root/testdata/sf0.01"
 BPE, PIECES, IDS = P.path("byte_bpe_multi_50k.tiktoken"), P.path("piece_bpe_32k.model"), P.path("byte_bpe_50k.json")
 ODD = ["a", "e", "th", "er", "aaaa", "  ", "\n", "é", "ß", "日本", "😀", "123", "--", "==", "\x1c", "\x85", "\u200b", "\u00a0", "\u3000", " ", "'s", "ab" * 9, "0" * 20, "▁", "<s>", "</s>", "<unk>", "<0x0A>", "\x00", "<|endoftext|>"]
 
@@ -106,9 +111,9 @@ def test_merge_count_is_symbols_less_merges():
 
 
 def ids_round_trip(idents, ids):
-    data = token_files.write_segment(idents, ids)
-    ((i, sizes, flat),) = token_files.read_segments(data)
-    assert i == idents and sizes.tolist() == list(map(len, ids)) and flat.tolist() == [x for d in ids for x in d.tolist()]
+    data = token_files.write_segment(7, idents, ids)
+    ((part, i, sizes, flat),) = token_files.read_segments(data)
+    assert part == 7 and i == idents and sizes.tolist() == list(map(len, ids)) and flat.tolist() == [x for d in ids for x in d.tolist()]
     return data
 
 
@@ -128,15 +133,53 @@ def test_any_ids_round_trip(lists):
     ids_round_trip(list(range(len(lists))), [np.array(x, np.uint16) for x in lists])
 
 
-def test_blocks_are_read_alone_and_checked():
+def test_blocks_are_read_alone_and_checked(monkeypatch):
     rng = np.random.default_rng(1)
-    blocks = rng.integers(0, 300, (3, 500)).astype(np.uint16)
-    streams = token_files.encode_blocks(blocks)
-    assert token_files.decode_blocks(streams[1:2], 500)[0].tolist() == blocks[1].tolist()
-    data = bytearray(ids_round_trip([1], [blocks.ravel()]))
-    data[-20] ^= 4
+    monkeypatch.setattr(token_files, "BLOCK", 700)
+    ids = rng.integers(0, 300, 2_000).astype(np.uint16)
+    data = bytearray(ids_round_trip([1], [ids]))
+    streams = [token_files.encode_block(ids[at : at + 700]) for at in (0, 700, 1400)]
+    assert bytes(data).endswith(b"".join(x for s in streams for x in s) + b"\n")
+    assert token_files.decode_block(streams[1], 700).tolist() == ids[700:1400].tolist()
+    for at in (-20, -400, 60):
+        bad = bytearray(data)
+        bad[at] ^= 4
+        with pytest.raises(ValueError):
+            list(token_files.read_segments(bytes(bad)))
     with pytest.raises(ValueError):
-        list(token_files.read_segments(bytes(data)))
+        list(token_files.read_segments(bytes(data[:-9])))
+
+
+def test_many_lanes_and_stretches(monkeypatch):
+    rng = np.random.default_rng(2)
+    ids = np.concatenate([rng.zipf(1.2, 30_000).clip(0, 65535), np.tile(rng.integers(0, 65536, 500), 20)]).astype(np.uint16)
+    monkeypatch.setattr(token_files, "COUNTED1", 6)  # counts give way
+    streams = token_files.encode_block(ids)
+    assert len(streams) == len(ids) // token_files.STRETCH
+    assert token_files.decode_block(streams, len(ids)).tolist() == ids.tolist()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_prediction_beats_order_0_and_a_general_compressor():
+    texts = pq.read_table(f"{SF}/documents.parquet").sort_by("doc_id")["text"].to_pylist()
+    ids = np.frombuffer(b"".join(x + b"\2\0" for x in token_files.encoder(IDS, P.PATTERN).encode([t or "" for t in texts])), "<u2")
+    share = np.bincount(ids) / len(ids)
+    order0 = -sum(p * math.log2(p) for p in share if p)
+    general = 8 * len(zstandard.ZstdCompressor(level=3).compress(ids.tobytes())) / len(ids)
+    ours = 8 * len(token_files.write_segment(0, [1], [ids])) / len(ids)
+    assert ours < 6.6 < min(order0, general)
+
+
+def test_files_stand_by_their_place_not_their_name(spark):
+    rows = spark.range(100_001).selectExpr("int(id) AS part", "id AS doc_id", "0L AS start", "id % 3 + 1 AS n_tokens", "0L AS ids_crc32")
+    got = {r.doc_id: r.start for r in token_files.placed(rows).filter("doc_id >= 99998").collect()}
+    before = sum(k % 3 + 1 for k in range(99_998))
+    assert got == {99_998: before, 99_999: before + 3, 100_000: before + 4}
+
+
+def test_ids_have_to_be_whole_numbers(spark, tmp_path):
+    with pytest.raises(ValueError):
+        token_files.write(spark.createDataFrame([("x", "y")], "doc_id string, text string"), str(tmp_path / "files"), IDS, P.PATTERN, 2)
 
 
 def test_token_files_equal_the_library(spark, tmp_path):
@@ -145,7 +188,7 @@ def test_token_files_equal_the_library(spark, tmp_path):
     token_files.write(df, str(tmp_path / "files"), IDS, P.PATTERN, 2)
     t = Tokenizer.from_file(IDS)
     want, at = [], 0
-    for i, x in sorted(texts, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    for i, x in sorted(texts, key=lambda r: (r[0] is not None, r[0] or 0, r[1] == "again", r[1] or "")):
         ids = [*t.encode(x or "", add_special_tokens=False).ids, 2]
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
