@@ -34,7 +34,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.components(table(spark, sf_dir, "documents"))
+    return ngram_join.components(table(spark, sf_dir, "documents"), with_links=True)
 
 
 def op4_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +85,7 @@ p AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS o FROM f a JOIN f b ON a.
 l AS (SELECT i, j FROM p JOIN s a ON a.doc_id = i JOIN s b ON b.doc_id = j WHERE 100 * o >= 75 * (len(a.g) + len(b.g) - o)),
 e AS (SELECT i, j FROM l UNION ALL SELECT j, i FROM l),
 r(doc_id, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT e.j, r.c FROM r JOIN e ON r.doc_id = e.i)
-SELECT s.doc_id, len(any_value(s.g)) AS n_shingles, min(r.c) AS component_id FROM s JOIN r USING (doc_id) GROUP BY s.doc_id""",
+SELECT s.doc_id, len(any_value(s.g)) AS n_shingles, min(r.c) AS component_id, (SELECT count(*) FROM e WHERE e.i = s.doc_id) AS n_links FROM s JOIN r USING (doc_id) GROUP BY s.doc_id""",
     "op6_source_mix": f"""
 WITH z AS (SELECT source, sum(length(coalesce(text, ''))) AS size, CASE source WHEN 'src0' THEN {MIX_WEIGHTS["src0"]} ELSE 1.0 END::DOUBLE AS weight FROM documents GROUP BY source),
 r AS (SELECT source, CASE WHEN size = 0 THEN 1.0 ELSE weight / (SELECT sum(weight) FROM z) * (SELECT sum(size) FROM z)::DOUBLE / size END AS rate FROM z),

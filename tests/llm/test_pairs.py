@@ -16,10 +16,10 @@ def shingles(text, n=5):
     return frozenset(tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))) if w else frozenset()
 
 
-def plain_components(rows, over=3, under=4, n=5):
-    """(id, text) -> {id: (size, component)}; ids are unique."""
+def plain_components(rows, over=3, under=4, n=5, with_links=False):
+    """(id, text) -> {id: (size, component)}, or with the number of links; ids are unique."""
     sets = {i: shingles(t, n) for i, t in rows}
-    root = {i: i for i in sets}
+    root, links = {i: i for i in sets}, dict.fromkeys(sets, 0)
 
     def find(i):
         while root[i] != i:
@@ -33,7 +33,9 @@ def plain_components(rows, over=3, under=4, n=5):
             if a and b and len(a & b) * under >= over * len(a | b):
                 x, y = sorted((find(i), find(j)))
                 root[y] = x
-    return {i: (len(s), find(i)) for i, s in sets.items()}
+                links[i] += 1
+                links[j] += 1
+    return {i: (len(s), find(i), *[links[i]] * with_links) for i, s in sets.items()}
 
 
 def corpus(seed, n):
@@ -64,23 +66,35 @@ def corpus(seed, n):
 def test_components_equal_brute_force(spark, seed):
     rows = corpus(seed, 160)
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, component_id int, digest string").repartition(5)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(df).collect()}
-    assert got == plain_components(rows)
+    got = {r.doc_id: tuple(r)[1:] for r in ngram_join.components(df, with_links=True).collect()}
+    assert got == plain_components(rows, with_links=True)
 
 
 def test_other_shingles_and_similarity(spark):
     rows = corpus(9, 120)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(df, n=3, similarity=(9, 10)).collect()}
-    assert got == plain_components(rows, 9, 10, 3)
+    got = {r.doc_id: tuple(r)[1:] for r in ngram_join.components(df, n=3, similarity=(9, 10), with_links=True).collect()}
+    assert got == plain_components(rows, 9, 10, 3, True)
+    alike = {r.doc_id: tuple(r)[1:] for r in ngram_join.components(df, similarity=(1, 1), with_links=True).collect()}
+    assert alike == plain_components(rows, 1, 1, 5, True)
 
 
 def test_small_blocks_and_ranges_give_the_same(spark, monkeypatch):
     rows = corpus(11, 120)
-    monkeypatch.setattr(ngram_join, "RANGE_SHINGLES", 50)
+    for name, value in (("RANGE_SHINGLES", 50), ("CHUNK_SETS", 3), ("CHUNK_SHINGLES", 200), ("COMPARED", 7)):
+        monkeypatch.setattr(ngram_join, name, value)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(df).collect()}
-    assert got == plain_components(rows)
+    got = {r.doc_id: tuple(r)[1:] for r in ngram_join.components(df, with_links=True).collect()}
+    assert got == plain_components(rows, with_links=True)
+
+
+def test_a_line_that_is_in_all_documents(spark):
+    rng = random.Random(15)
+    line = prose(rng, SYLLABLES["cc"], 30)
+    rows = [(k, prose(rng, SYLLABLES["aa"] + SYLLABLES["bb"], rng.randint(1, 60)) + "\n" + line) for k in range(250)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {r.doc_id: tuple(r)[1:] for r in ngram_join.components(df, with_links=True).collect()}
+    assert got == plain_components(rows, with_links=True)
 
 
 def test_a_large_group_of_near_copies_and_one_of_copies(spark):
@@ -94,20 +108,21 @@ def test_a_large_group_of_near_copies_and_one_of_copies(spark):
         rows.append((k, " ".join(w)))
     rows += [(k, "the same text of a good many words in all of these") for k in range(300, 600)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in ngram_join.components(df).collect()}
-    want = plain_components(rows[:301])
-    assert all(got[i] == want[i][1] for i in range(300)) and {got[k] for k in range(300, 600)} == {300}
+    got = {r.doc_id: (r.component_id, r.n_links) for r in ngram_join.components(df, with_links=True).collect()}
+    want = plain_components(rows[:301], with_links=True)
+    assert all(got[i] == want[i][1:] for i in range(300)) and {got[k] for k in range(300, 600)} == {(300, 299)}
 
 
 def test_pair_edge_cases(spark):
     rows = [(None, "a b c d e f"), (2, "A B C D E F"), (2, "A B C D E F"), (None, None), (3, None), (4, ""), (5, "word " * 50_000), (6, "word " * 60_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(map(str, [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.components(df).collect()]))
-    assert got == sorted(map(str, [(None, 2, 2), (2, 2, 2), (2, 2, 2), (None, 0, None), (3, 0, 3), (4, 0, 4), (5, 1, 5), (6, 1, 5)]))
+    got = sorted(map(str, [(r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in ngram_join.components(df, with_links=True).collect()]))
+    assert got == sorted(map(str, [(None, 2, 2, 2), (2, 2, 2, 2), (2, 2, 2, 2), (None, 0, None, 0), (3, 0, 3, 0), (4, 0, 4, 0), (5, 1, 5, 1), (6, 1, 5, 1)]))
     assert ngram_join.components(df.limit(0)).count() == 0
-    kept = ngram_join.keep_one(df.withColumn("Stays", F.lit(1)), ngram_join.components(df))
-    assert kept.columns == ["doc_id", "text", "Stays"]
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "3", "4", "5", "None", "None"]
+    tagged = df.withColumn("Stays", F.lit(1)).union(df.filter("doc_id = 2").withColumn("Stays", F.lit(0))).withColumn("row", F.create_map(F.lit("a"), "Stays"))
+    kept = ngram_join.keep_one(tagged, ngram_join.components(df))
+    assert kept.columns == ["doc_id", "text", "Stays", "row"]
+    assert sorted(f"{r.doc_id} {r.Stays} {r.row}" for r in kept.collect()) == ["2 0 {'a': 0}", *(f"{k} 1 {{'a': 1}}" for k in ("3", "4", "5", "None", "None"))]
 
 
 def test_components_of_long_chains(spark):
