@@ -1,34 +1,38 @@
 """GIF media columns: LZW code streams, palettes, disposal and transparency, timed frames.
 
-decode_gif() reads any GIF87a or GIF89a: it decodes each image's LZW codes, undoes interlacing,
+frames_of() reads any GIF87a or GIF89a: it decodes each image's LZW codes, undoes interlacing,
 composes it on the canvas by the transparency and the disposal of its control block, and
-gives timed frames. encode_gif() writes indexed frames losslessly. The text operator stores
-the bytes of a text as samples of such frames, one byte a sample, and reads them back.
+gives timed frames, one at a time. encode_gif() writes indexed frames losslessly. The text operators store
+the bytes of a text as samples of such frames, one byte a sample (write_texts), and read a stored
+column back (read_texts); read_frames gives the frames of any media column with their colour histograms.
 
-Nulls count as empty text, whose payload is padding alone. Equal texts have equal media.
+Nulls count as empty text, whose payload is padding alone. Equal texts have equal media. A text of any length is stored
+whole, in as many frames as it takes. Media that are null or no GIF have no frames, nor has a GIF whose header asks for a canvas of
+more than MOST_PIXELS. A broken end gives the frames before it. Kept columns whose names are those of results give way. Empty tables give none.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from cartulary.llm.common import map_texts
+from cartulary.llm.common import col, map_texts, pieces_of, tidied, workers_import
 
 #: A frame of samples is WIDTH wide and at most HIGHEST high; payloads are multiples of UNIT bytes.
 WIDTH, UNIT, HIGHEST = 24, 576, 384
 #: Hundredths of a second that a frame of samples stands.
 DELAY = 4
 GREY = bytes(v for k in range(256) for v in (k, k, k))
-#: Codes after a clear code until all 4096 are taken.
-FULL = 3837
+#: Pixels of the largest canvas that is made, whatever a header asks for.
+MOST_PIXELS = 1 << 26
 
 
 def code_widths(first: int, n: int, least: int) -> np.ndarray:
@@ -139,7 +143,7 @@ def encode_gif(width: int, height: int, images: Sequence[tuple[int, int, bytes,
 
 @dataclass
 class Frame:
-    """start, delay: hundredths of a second. box: left, top, width, height. indices: the image's own. canvas: RGBA after drawing."""
+    """start, delay: hundredths of a second. box: left, top, width, height. indices: the image's own. canvas: RGBA after drawing, until the next frame is drawn on it."""
 
     start: int
     delay: int
@@ -149,9 +153,14 @@ class Frame:
 
 
 def decode_gif(data: bytes) -> list[Frame]:
-    """All frames of a GIF. Bytes that are no GIF give none; a broken end gives the frames before it."""
+    """All frames of a GIF, each with a canvas of its own."""
+    return [replace(f, canvas=f.canvas.copy()) for f in frames_of(data)]
+
+
+def frames_of(data: bytes) -> Iterator[Frame]:
+    """The frames of a GIF in turn. Bytes that are no GIF give none; a broken end gives the frames before it."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
-        return []
+        return
     word = lambda at: data[at] | data[at + 1] << 8
     width, height, flags, at = word(6), word(8), data[10], 13
 
@@ -174,7 +183,9 @@ def decode_gif(data: bytes) -> list[Frame]:
     common = None
     if flags & 128:
         common, at = colours(at, flags)
-    canvas, frames, start = np.zeros((height, width, 4), np.uint8), [], 0
+    if width * height > MOST_PIXELS:
+        return
+    canvas, start = np.zeros((height, width, 4), np.uint8), 0
     delay, disposal, clear_index = 0, 0, -1
     undo = None  # what the frame drawn last leaves behind when the next comes
     while at < len(data) and data[at] != 0x3B:
@@ -214,11 +225,10 @@ def decode_gif(data: bytes) -> list[Frame]:
         if clear_index >= 0:
             drawn = np.where((seen == clear_index)[..., None], canvas[box], drawn)
         canvas[box] = drawn
-        frames.append(Frame(start, delay, (left, top, w, h), image, canvas.copy()))
+        yield Frame(start, delay, (left, top, w, h), image, canvas)
         undo = (lambda b=box: canvas.__setitem__(b, 0)) if disposal == 2 else (lambda b=box, v=before: canvas.__setitem__(b, v)) if disposal == 3 else None
         start += delay
         delay, disposal, clear_index = 0, 0, -1
-    return frames
 
 
 def histogram(canvas: np.ndarray, bins: int = 8) -> np.ndarray:
@@ -235,15 +245,16 @@ def store_bytes(data: bytes) -> bytes:
     return encode_gif(WIDTH, images[0][1], images)
 
 
-def read_bytes(media: bytes) -> tuple[bytes, np.ndarray]:
-    """The samples of all frames in turn, and the sum of the frames' colour histograms."""
-    out, total = [], np.zeros(24, np.int64)
-    for f in decode_gif(media):
+def read_bytes(media: bytes) -> tuple[bytes, np.ndarray, int, int]:
+    """The samples of all frames in turn, the sum of the frames' colour histograms, the number of frames and how long they stand."""
+    out, total, end = [], np.zeros(24, np.int64), 0
+    for f in frames_of(media):
         x, y, w, h = f.box
         shown = f.canvas[y : y + h, x : x + w]
         out.append(shown[..., 0].tobytes())
         total += histogram(shown)
-    return b"".join(out), total
+        end = f.start + f.delay
+    return b"".join(out), total, len(out), end
 
 
 def feature(counts: np.ndarray) -> str:
@@ -253,41 +264,60 @@ def feature(counts: np.ndarray) -> str:
     return (channels * 255 // whole).astype(np.uint8).tobytes().hex()
 
 
-def _media(with_media: bool):
+def _stored():
     def compute(texts):
-        rows = []
-        for t in texts:
-            data = (t or "").encode()
-            media = store_bytes(data)
-            payload, counts = read_bytes(media)
-            row = (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(counts))
-            rows.append((*row, media) if with_media else row)
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-        return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds[: 7 + with_media])]
+        rows = [(t or "").encode() for t in texts]
+        return [pa.array(list(map(len, rows)), pa.int64()), pa.array(list(map(store_bytes, rows)), pa.binary())]
 
     return compute
 
 
-def store_texts(df: DataFrame, text: str = "text", keep: Sequence[str | tuple[str, Column]] = ("doc_id",), with_media: bool = True) -> DataFrame:
-    """Columns `keep`, then of each whole text what its stored form gives when read back, and that form itself (`media`) if asked for."""
-    fields = [("n_bytes", LongType()), ("payload_bytes", LongType()), ("payload_sha256", StringType()), ("tail_crc32", LongType()), ("media_bytes", LongType()), ("media_sha256", StringType()), ("feature", StringType())]
-    return map_texts(df, text, keep, fields + [("media", BinaryType())] * with_media, _media, with_media)
+def write_texts(df: DataFrame, text: str = "text", keep: Sequence[str | tuple[str, Column]] = ("doc_id",)) -> DataFrame:
+    """Columns `keep`, n_bytes and the stored form (`media`) of each whole text: the media column to be written."""
+    return map_texts(df, text, keep, [("n_bytes", LongType()), ("media", BinaryType())], _stored)
+
+
+#: What read_texts computes of a stored form, and its Arrow types.
+READ = (("payload_bytes", LongType(), pa.int64()), ("payload_sha256", StringType(), pa.string()), ("tail_crc32", LongType(), pa.int64()), ("media_bytes", LongType(), pa.int64()), ("media_sha256", StringType(), pa.string()), ("feature", StringType(), pa.string()), ("n_frames", LongType(), pa.int64()), ("duration", LongType(), pa.int64()))
+
+
+def _read(media: bytes) -> tuple:
+    payload, counts, frames, end = read_bytes(media)
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(counts), frames, end
+
+
+def read_texts(df: DataFrame, media: str = "media", keep: Sequence[str] = ("doc_id", "n_bytes")) -> DataFrame:
+    """Columns `keep`, then what each stored form gives when read back; null media count as no bytes."""
+    workers_import(df.sparkSession)
+    picked = df.select(*(col(k) for k in keep if k.lower() not in {n for n, _, _ in READ}), F.coalesce(col(media), F.lit(b"")).alias("__media"))
+    schema = StructType([*picked.schema.fields[:-1], *(StructField(n, t) for n, t, _ in READ)])
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces_of(batch, batch.num_columns - 1):
+                rows = list(map(_read, part.column(part.num_columns - 1).to_pylist()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array([r[k] for r in rows], t) for k, (_, _, t) in enumerate(READ))], names=schema.names)
+
+    return picked.mapInArrow(tidied(run), schema)
 
 
-FRAMES = ArrayType(StructType([StructField("start", IntegerType()), StructField("delay", IntegerType()), StructField("width", IntegerType()), StructField("height", IntegerType()), StructField("rgba", BinaryType()), StructField("histogram", ArrayType(LongType()))]))
+#: A frame's columns and their Arrow types.
+FRAME = (("frame", IntegerType(), pa.int32()), ("start", IntegerType(), pa.int32()), ("delay", IntegerType(), pa.int32()), ("width", IntegerType(), pa.int32()), ("height", IntegerType(), pa.int32()), ("rgba", BinaryType(), pa.binary()), ("histogram", ArrayType(LongType()), pa.list_(pa.int64())))
 
 
 def read_frames(df: DataFrame, media: str = "media", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """Columns `keep` and the timed frames of each GIF: the composed RGBA canvas and its colour histogram. Null media have no frames."""
-    picked = df.select(*keep, media)
-    schema = StructType([*picked.schema.fields[:-1], StructField("frames", FRAMES)])
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("delay", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("rgba", pa.binary()), ("histogram", pa.list_(pa.int64()))]))
+    """A row for each timed frame of each GIF: columns `keep`, frame (from 0), start and delay (hundredths of a second), and the composed canvas: width, height, rgba and histogram (eight bins of red, green and blue)."""
+    workers_import(df.sparkSession)
+    picked = df.select(*(col(k) for k in keep if k.lower() not in {n for n, _, _ in FRAME}), col(media).alias("__media"))
+    schema = StructType([*picked.schema.fields[:-1], *(StructField(n, t) for n, t, _ in FRAME)])
 
     def run(batches):
         for batch in batches:
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1)
-                frames = [{"start": f.start, "delay": f.delay, "width": f.canvas.shape[1], "height": f.canvas.shape[0], "rgba": f.canvas.tobytes(), "histogram": histogram(f.canvas).tolist()} for f in decode_gif(row.column(row.num_columns - 1)[0].as_py() or b"")]
-                yield pa.RecordBatch.from_arrays([*row.columns[:-1], pa.array([frames], kind)], names=schema.names)
+                # a frame a batch: one canvas is held at a time
+                for k, f in enumerate(frames_of(row.column(row.num_columns - 1)[0].as_py() or b"")):
+                    values = (k, f.start, f.delay, f.canvas.shape[1], f.canvas.shape[0], f.canvas.tobytes(), histogram(f.canvas).tolist())
+                    yield pa.RecordBatch.from_arrays([*row.columns[:-1], *(pa.array([v], t) for v, (_, _, t) in zip(values, FRAME, strict=True))], names=schema.names)
 
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(tidied(run), schema)

@@ -43,7 +43,8 @@ def op4_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gif_media.store_texts(table(spark, sf_dir, "documents"), with_media=False)
+    # the media column is written, and what is written is read
+    return gif_media.read_texts(kept(gif_media.write_texts(table(spark, sf_dir, "documents")), "media"))
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

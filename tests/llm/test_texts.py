@@ -290,16 +290,25 @@ def test_interlace_local_palettes_and_broken_ends():
 
 
 def test_stored_texts_come_back(spark):
-    got = gif_media.store_texts(edge_table(spark)).collect()
+    stored = gif_media.write_texts(edge_table(spark))
+    got = gif_media.read_texts(stored).collect()
     for r, (i, t) in zip(sorted(got, key=lambda r: (r.n_bytes, str(r.doc_id))), sorted(EDGES, key=lambda e: (len((e[1] or "").encode()), str(e[0]))), strict=True):
         data = (t or "").encode()
         payload = data + b"\xff" * (-len(data) % 576 if data else 576)
         assert (r.doc_id, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (i, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
-        assert gif_media.read_bytes(bytes(r.media))[0] == payload
-    small = gif_media.store_texts(edge_table(spark).filter("doc_id = 4"))
-    frames = gif_media.read_frames(small).first().frames
-    assert (frames[0].width, frames[0].height, sum(frames[0].histogram)) == (24, 24, 3 * 576)
-    assert gif_media.store_texts(edge_table(spark).limit(0)).count() == 0
+        frames = -(-len(payload) // (24 * 384))
+        assert (r.n_frames, r.duration) == (frames, 4 * frames)
+        assert gif_media.read_bytes(gif_media.store_bytes(data))[0] == payload and r.media_sha256 == hashlib.sha256(gif_media.store_bytes(data)).hexdigest()
+    assert gif_media.read_texts(stored.withColumn("Feature", F.lit(1)), keep=["doc_id", "Feature"]).columns.count("feature") == 1
+    frames = gif_media.read_frames(stored.filter("doc_id = 3")).orderBy("frame").collect()
+    assert [(f.frame, f.start, f.width) for f in frames] == [(k, 4 * k, 24) for k in range(14)] and sum(frames[0].histogram) == 3 * 24 * 384
+    assert gif_media.read_frames(stored.withColumn("media", F.lit(None).cast("binary"))).count() == 0
+    assert gif_media.read_texts(gif_media.write_texts(edge_table(spark).limit(0))).count() == 0
+
+
+def test_a_hostile_header_gives_no_frames():
+    assert gif_media.decode_gif(gif(65535, 65535, image(0, 0, 1, 1, [1]))) == []
+    assert len(gif_media.decode_gif(gif(8000, 8000, image(0, 0, 1, 1, [1])))) == 1
 
 
 # URLs
