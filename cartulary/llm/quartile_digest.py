@@ -6,7 +6,8 @@ hex: a length code (logarithm of the byte length), the ratios of the quartiles,
 Two digests differ by a bounded score; likeness is 1 less the score's share of its bound.
 
 Nulls count as empty text, whose digest is that of no triplets. Texts under four bytes have
-no triplets either, and differ by length alone. Equal texts have equal digests, and likeness 1.
+no triplets either, and differ by length alone. Equal texts have equal digests, and likeness 1. A text of any
+length is hashed whole. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from cartulary.llm.common import ROWS, col, map_texts, stored, workers_import
+from cartulary.llm.common import col, kept, map_texts, pieces_of, tidied, workers_import
 
 BUCKETS = 128
 #: Bytes of a text that are hashed at once.
 STRETCH = 1 << 20
+#: Bytes of text of a partition of neighbours, as expected.
+PART_BYTES = 32 << 20
 #: Odd multipliers and offsets of the three triplet hashes.
 MIX = ((0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 11), (0x27D4EB2F, 0x165667B1, 0x9E3779B1, 101), (0x85EBCA77, 0x27D4EB2F, 0xC2B2AE3D, 211))
 #: Bounds of the difference in length codes and in each quartile ratio.
@@ -115,7 +118,9 @@ def compare_neighbours(df: DataFrame, ident: str = "doc_id", text: str = "text")
     """
     workers_import(df.sparkSession)
     rows = df.select(col(ident).alias("ident"), F.coalesce(col(text).cast("string"), F.lit("")).alias("text"))
-    sorted_rows = rows.repartitionByRange(F.col("ident").asc_nulls_first()).sortWithinPartitions(F.col("ident").asc_nulls_first(), "text")
+    volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(-(-volume // PART_BYTES), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sorted_rows = rows.repartitionByRange(parts, F.col("ident").asc_nulls_first()).sortWithinPartitions(F.col("ident").asc_nulls_first(), "text")
     kind = sorted_rows.schema["ident"].dataType
     #: part and last: of border rows alone, which keep their text.
     schema = StructType([StructField("ident", kind), *(StructField(n, t) for n, _, t in FIELDS), StructField("part", IntegerType()), StructField("last", BooleanType()), StructField("text", StringType())])
@@ -135,8 +140,8 @@ def compare_neighbours(df: DataFrame, ident: str = "doc_id", text: str = "text")
 
         for batch in batches:
             ident_type = batch.column(0).type
-            for at in range(0, batch.num_rows, ROWS):
-                piece, found = batch.slice(at, ROWS), []
+            for piece in pieces_of(batch, 1):
+                found = []
                 for i, t in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
                     d = digest(t)
                     if previous is None:
@@ -148,19 +153,20 @@ def compare_neighbours(df: DataFrame, ident: str = "doc_id", text: str = "text")
         if previous is not None:
             yield out([], [first, (previous[0], previous[1], True)])
 
-    done, _ = stored(sorted_rows.mapInArrow(run, schema), "digests")
+    done = kept(sorted_rows.mapInArrow(tidied(run), schema), "digests")
     names = [n for n, _, _ in FIELDS]
     inner = done.filter("part is null").select("ident", *names)
-    # two rows for each partition with rows: as many as there are partitions, however many rows the input has
-    order = Window.orderBy("part", "last")
+    # two rows for each partition with rows; their numbers alone, without texts, are put in order
     borders = done.filter("part is not null").select("ident", "text", "part", "last")
-    start = borders.filter(~F.col("last")).orderBy("part").limit(1).select(F.col("text").alias("start"))
-    ends = borders.withColumn("following", F.lead("text").over(order)).filter("last").join(start, how="left").withColumn("following", F.coalesce("following", "start"))
+    numbers = done.filter("not last").select("part")
+    after = numbers.select("part", F.lead("part").over(Window.orderBy("part")).alias("next")).join(numbers.agg(F.min("part").alias("first"))).select("part", F.coalesce("next", "first").alias("next"))
+    starts = borders.filter("not last").select(F.col("part").alias("next"), F.col("text").alias("following"))
+    ends = borders.filter("last").join(after, "part").join(starts, "next")
 
     def meet(batches):
         for batch in batches:
             found = [compared(t, f, digest(t), digest(f)) for t, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in found], t) for k, (_, t, _) in enumerate(FIELDS))], names=["ident", *names])
 
-    outer = ends.select("ident", "text", "following").mapInArrow(meet, StructType(schema.fields[: 1 + len(FIELDS)]))
+    outer = ends.select("ident", "text", "following").mapInArrow(tidied(meet), StructType(schema.fields[: 1 + len(FIELDS)]))
     return inner.unionByName(outer).withColumnRenamed("ident", ident)
