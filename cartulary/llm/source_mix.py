@@ -7,8 +7,8 @@ Each document is exploded by its count, and all copies are sorted by a hash of s
 copy: a global shuffle.
 
 A null source is a source of its own. A null text has size 0 and is replicated like others of its
-source. Null ids hash as an empty string; repeated ids get equal counts. A source whose texts are
-all empty keeps each document once. An empty table gives none.
+source. Null ids hash as an empty string; repeated ids get equal counts and stand in an order that their other columns decide. A source whose texts are
+all empty keeps each document once. An empty table gives none. Texts are not looked into, however long.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
-from cartulary.llm.common import col, free_name
+from cartulary.llm.common import col, free_name, kept
 
 #: Sources up to which the rates go to every executor; more are joined by a shuffle, whose hot keys AQE splits.
 MOST_SENT = 50_000
@@ -57,6 +58,8 @@ def replicate(df: DataFrame, weights: Mapping[str, float], default_weight: float
     df = df.drop(*(c for c in df.columns if c.lower() in ("copy", "shuffle_key")))
     of, steps, times = (free_name(df, x) for x in ("rate_source", "rate_steps", "times"))
     rates = target_rates(df, weights, default_weight, epochs, text, source).select(F.col("source").alias(of), poisson_steps(F.col("rate")).alias(steps))
+    # a row a source, computed once
+    rates = kept(rates, "rates")
     if rates.count() <= MOST_SENT:
         rates = F.broadcast(rates)
     key = F.coalesce(col(ident).cast("string"), F.lit(""))
@@ -64,4 +67,7 @@ def replicate(df: DataFrame, weights: Mapping[str, float], default_weight: float
     u = uniform(F.lit(seed), key)
     rows = rows.withColumn(times, F.size(F.filter(steps, lambda step: step <= u))).filter(F.col(times) > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(times))))
     rows = rows.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), key, F.col("copy").cast("string"))))
-    return rows.drop(of, steps, times).orderBy("shuffle_key")
+    rows = rows.drop(of, steps, times)
+    # copies of rows that repeat an id have one key: what else they hold puts them in order
+    rest = F.xxhash64(*(F.to_json(col(c)) if isinstance(f.dataType, MapType) else col(c) for c, f in zip(rows.columns, rows.schema, strict=True)))
+    return rows.orderBy("shuffle_key", rest)
