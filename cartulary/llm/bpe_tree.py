@@ -14,7 +14,7 @@ encodings, so all pairs are right and the whole is.
 
 Decoding concatenates the tokens' bytes block by block, then up the tree.
 
-Nulls count as empty text. Empty texts have no ids. Equal texts have equal ids. A table
+Nulls count as empty text. Empty texts have no ids. A text of any length is encoded whole. Equal texts have equal ids. A table
 without rows gives none. Columns beside those named are ignored.
 """
 

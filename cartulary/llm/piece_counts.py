@@ -8,7 +8,7 @@ counts as its UTF-8 bytes where the model falls back to bytes, else as one. No i
 A text is cut before each run of space marks where no piece of the vocabulary reaches over
 such a cut, as then no merge can; what a worker has counted it remembers up to a bound.
 
-Nulls count as empty text; empty texts have 0 tokens. Equal texts have equal counts.
+Nulls count as empty text; empty texts have 0 tokens. A text of any length is counted whole. Equal texts have equal counts.
 A table without rows gives none. Columns beside those named are ignored.
 """
 

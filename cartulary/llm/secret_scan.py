@@ -8,7 +8,7 @@ A string that nothing known explains adds about as many bytes as it has; if its
 it is reported as `novel`, in all places where it stands. Where a line of a private key's block is reported,
 all its lines are, to the END mark, whatever their share. The share is given for base spans as well.
 
-Null texts count as empty and have no spans. Positions are code points, ends exclusive. Spans
+Null texts count as empty and have no spans. A text of any length is scanned whole, in time that grows with its length. Empty tables give none. Positions are code points, ends exclusive. Spans
 stand by start, then by kind as listed in KINDS. Equal texts have equal spans.
 """
 

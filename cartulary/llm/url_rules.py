@@ -47,8 +47,9 @@ def digest_of(host: Column, path: Column) -> Column:
 def judge(df: DataFrame, rules: DataFrame, url: str = "url", keep: Sequence[str] = ("page_id",), otherwise: str = "allow") -> DataFrame:
     """Columns `keep`, host, path, rule (host and path of the rule that won, else null) and verdict (the rule's, else `otherwise`).
 
-    keep: columns that can be grouped by.
+    keep: columns that can be grouped by; those whose names are those of results give way.
     """
+    keep = [k for k in keep if k.lower() not in ("host", "path", "rule", "verdict")]
     rules = rules.select(F.col("host").alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict")).distinct().withColumn("digest", digest_of(F.col("r_host"), F.col("r_path")))
     rules = rules.withColumn("short", F.left("digest", F.lit(SHORT)))
     # the shapes of rules: as many as there are lengths, not as there are rules
