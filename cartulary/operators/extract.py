@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cartulary.functions.json_repair import repair
-from cartulary.functions.text import normalised, trimmed
+from cartulary.functions.text import normalised, ordered_join
 from cartulary.schema import CONCEPT_TYPES, CONTAINMENT_TYPES, EDGE_TYPES, PALETTE_SIZE, lenient, node_identity
 
 ENTITY = "struct<label:string,type:string,summary:string,textSpan:string,confidence:double>"
@@ -21,6 +21,7 @@ CONCEPT = f"struct<label:string,type:string,summary:string,textSpan:string,confi
 RESPONSE = f"struct<concepts:array<{CONCEPT}>>"
 RELATION = "struct<sourceLabel:string,targetLabel:string,type:string,confidence:double,linkingPhrase:string>"
 MERGE = "array<struct<labelA:string,labelB:string,confidence:double,reason:string,mergeType:string>>"
+CHAPTERS = "struct<chapters:array<struct<title:string,pageStart:int,pageEnd:int>>>"
 ANSWER = "struct<answer:string,citations:array<struct<text:string,pageIndex:int>>>"
 FACTS = "struct<facts:array<struct<claim:string,textSpan:string,type:string,confidence:double>>>"
 CLUSTERS = "struct<concepts:array<struct<label:string,type:string,summary:string,level:string,factIndices:array<int>,entities:array<struct<label:string,type:string,summary:string,factIndices:array<int>>>>>>"
@@ -55,8 +56,23 @@ def merges_of(responses: DataFrame) -> DataFrame:
     return each.select("doc_id", "ord", "m.*").filter("labelA is not null and labelB is not null").withColumn("mergeType", F.coalesce("mergeType", F.lit("semanticEquivalent")))
 
 
-def answers_of(responses: DataFrame) -> DataFrame:
-    return responses.select("doc_id", F.from_json(repair("response"), ANSWER).alias("a")).select("doc_id", "a.answer", "a.citations")
+def chapters_of(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Proposed chapters (doc_id, ord, title, page_start, page_end) of responses, and the documents whose response can be read."""
+    parsed = responses.select("doc_id", F.from_json(repair("response"), CHAPTERS)["chapters"].alias("c")).filter("c is not null")
+    each = parsed.select("doc_id", F.posexplode("c").alias("ord", "x")).filter("x.title is not null and x.pageStart is not null and x.pageEnd is not null")
+    return each.select("doc_id", "ord", "x.title", F.col("x.pageStart").alias("page_start"), F.col("x.pageEnd").alias("page_end")), parsed.select("doc_id").distinct()
+
+
+def first_concepts(nodes: DataFrame, most: int = 50) -> DataFrame:
+    """The one list of labels, in order of node_id, of the first `most` concepts: what a model is shown of a graph."""
+    first = nodes.filter("level = 'concept'").orderBy("node_id").limit(most)
+    return first.agg(ordered_join(F.col("node_id"), F.col("label"), "; ").alias("labels"))
+
+
+def merge_prompt(fresh: DataFrame, project: DataFrame, most: int = 50) -> DataFrame:
+    """The one prompt that asks which of the first concepts of two graphs are one thing; none if either has none."""
+    a, b = (first_concepts(df, most).filter("labels <> ''").select(F.col("labels").alias(name)) for df, name in ((fresh, "a"), (project, "b")))
+    return a.join(b).select(prompt(PROMPTS["merges"], a=F.col("a"), b=F.col("b")).alias("prompt"))
 
 
 def resolve_anchors(spans: DataFrame, blocks: DataFrame, pages: DataFrame) -> DataFrame:
@@ -92,10 +108,22 @@ def upsert_labels(rows: DataFrame, order: list[str]) -> tuple[DataFrame, DataFra
     return nodes, anchors
 
 
-def coloured(nodes: DataFrame) -> DataFrame:
-    """Concepts with colours in turn, in their order within the documents that brought them."""
-    turn = (F.row_number().over(Window.partitionBy("place.doc_id").orderBy("place")) - 1) % PALETTE_SIZE
-    return nodes.withColumn("color_index", F.when(F.col("level") == "concept", turn))
+def coloured(nodes: DataFrame, holds: DataFrame | None = None) -> DataFrame:
+    """Concepts with colours in turn, in the order of their places over the whole graph; entities with the colour of their first concept.
+
+    nodes: with place, a struct that begins with doc_id; holds: containsEntity edges (src, tgt, edge_id).
+    """
+    concepts = nodes.filter("level = 'concept'").select("node_id", "place", F.col("place.doc_id").alias("doc_id"))
+    # documents are counted through in order, a row each; a document's concepts within it
+    counts = concepts.groupBy("doc_id").agg(F.count("*").alias("n"))
+    before = counts.select("doc_id", F.coalesce(F.sum("n").over(Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("place")) - 1
+    own = concepts.withColumn("turn", turn).join(before, "doc_id").select("node_id", F.pmod(F.col("turn") + F.col("before"), F.lit(PALETTE_SIZE)).cast("int").alias("color_index"))
+    if holds is not None:
+        first = holds.groupBy(F.col("tgt").alias("entity")).agg(F.min_by("src", "edge_id").alias("node_id"))
+        of_entities = first.join(own, "node_id").join(nodes.filter("level = 'entity'").select(F.col("node_id").alias("entity")), "entity").select(F.col("entity").alias("node_id"), "color_index")
+        own = own.unionByName(of_entities)
+    return nodes.join(own, "node_id", "left")
 
 
 def end_points(relations: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -89,6 +89,11 @@ def chapter_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return wanted.join(edges.select("src", "tgt", "type"), ["src", "tgt", "type"], "left_anti").withColumns({"confidence": F.lit(0.7), "label": F.lit("aggregated")})
 
 
+def analysis_queue(documents: DataFrame, states: DataFrame) -> DataFrame:
+    """Documents (doc_id) to analyse, with their place (from 1) in the queue, in order of id: one after another."""
+    return unprocessed(documents, states).withColumn("place", F.row_number().over(Window.orderBy("doc_id")))
+
+
 def document_pairs(documents: DataFrame, anchors: DataFrame, edges: DataFrame) -> DataFrame:
     """doc_a, doc_b, shared (nodes anchored in both) and edge_counts (map by type) of each pair of documents.
 

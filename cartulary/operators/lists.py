@@ -39,9 +39,9 @@ def dropped_files(paths: DataFrame, cap: int = 10) -> DataFrame:
 
 
 def restored(bookmarks: DataFrame, cap: int = 10) -> DataFrame:
-    """Bookmarks (ord, resolved, path) to open again: resolved or by path, each URL once, the first `cap`."""
+    """Bookmarks (ord, resolved, path) to open again: resolved or by path, each URL once, the first `cap`; those by path alone are inaccessible."""
     found = bookmarks.withColumn("url", F.coalesce("resolved", "path")).filter("url is not null")
-    return found.groupBy("url").agg(F.min("ord").alias("ord")).orderBy("ord").limit(cap)
+    return found.groupBy("url").agg(F.min("ord").alias("ord"), F.min_by(F.col("resolved").isNull(), "ord").alias("inaccessible")).orderBy("ord").limit(cap)
 
 
 def toggled(toggles: DataFrame) -> DataFrame:
@@ -60,13 +60,38 @@ def removed(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return rows.join(gone.select(key), key, "left_anti")
 
 
+def removed_project(projects: DataFrame, files: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """projects (id) and their files (project_id) without some projects (id)."""
+    return removed(projects, gone, "id"), files.join(gone.select(F.col("id").alias("project_id")), "project_id", "left_anti")
+
+
+def closed_up(files: DataFrame, gone: DataFrame) -> DataFrame:
+    """Recent files (user_id, ord, url, inaccessible, misses) without some (user_id, ord): those after them move up, with their flags."""
+    rest = files.join(gone.select("user_id", "ord"), ["user_id", "ord"], "left_anti")
+    return rest.withColumn("ord", (F.row_number().over(Window.partitionBy("user_id").orderBy("ord")) - 1).cast("int"))
+
+
+def located(files: DataFrame, found: DataFrame) -> DataFrame:
+    """Recent files with some (user_id, ord) replaced in place by a URL found for them: accessible, and with no misses counted. Places that no file has change nothing."""
+    new = found.groupBy("user_id", "ord").agg(F.max("url").alias("new_url"))
+    met = files.join(new, ["user_id", "ord"], "left")
+    there = F.col("new_url").isNotNull()
+    return met.withColumns({"url": F.coalesce("new_url", "url"), "inaccessible": F.when(there, False).otherwise(F.col("inaccessible")), "misses": F.when(there, 0).otherwise(F.col("misses")).cast("int")}).select(*files.columns)
+
+
+def notices(shown: DataFrame, cap: int = 50) -> DataFrame:
+    """The last `cap` notices of each user, the most recent first. shown: user_id, seq, title."""
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("seq").desc()))
+    return shown.withColumn("place", place).filter(F.col("place") <= cap)
+
+
 def reordered(rows: DataFrame, per: str, ident: str, moved: str, to: int) -> DataFrame:
     """rows with one of them moved to a place (as far as there is one), ord made anew."""
     own = Window.partitionBy(per).orderBy("ord", ident)
     placed = rows.withColumn("ord", F.row_number().over(own) - 1)
     here = placed.filter(F.col(ident) == moved).select(per, F.col("ord").alias("at"))
     size = placed.groupBy(per).agg(F.count("*").alias("n"))
-    met = placed.join(F.broadcast(here), per, "left").join(size, per)
+    met = placed.join(here, per, "left").join(size, per)
     goal = F.greatest(F.lit(0), F.least(F.lit(to), F.col("n") - 1))
     shift = F.when(F.col("at").isNull(), F.col("ord")).when(F.col(ident) == moved, goal).when((F.col("ord") > F.col("at")) & (F.col("ord") <= goal), F.col("ord") - 1).when((F.col("ord") < F.col("at")) & (F.col("ord") >= goal), F.col("ord") + 1).otherwise(F.col("ord"))
     return met.withColumn("ord", shift.cast("int")).drop("at", "n")

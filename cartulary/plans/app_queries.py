@@ -30,7 +30,7 @@ def dropped_files(spark, sf_dir):
     return lists.dropped_files(paths).select(F.regexp_replace("path", r"\.PDF$", "").alias("path"), "ord")
 
 
-@query("SELECT url, min(page_id) AS ord FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN NULL WHEN page_id % 3 = 1 THEN concat('at', page_id // 2) ELSE concat('at', page_id // 3) END AS url FROM pages) WHERE url IS NOT NULL GROUP BY url ORDER BY ord LIMIT 10")
+@query("SELECT url, min(page_id) AS ord, arg_min(page_id % 3 <> 1, page_id) AS inaccessible FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN NULL WHEN page_id % 3 = 1 THEN concat('at', page_id // 2) ELSE concat('at', page_id // 3) END AS url FROM pages) WHERE url IS NOT NULL GROUP BY url ORDER BY ord LIMIT 10")
 def session_restore(spark, sf_dir):
     k = F.col("page_id")
     marks = Fixture(spark, sf_dir).table("pages").select(k.alias("ord"), F.when(k % 3 == 1, F.expr("concat('at', page_id div 2)")).alias("resolved"), F.when(k % 3 == 2, F.expr("concat('at', page_id div 3)")).alias("path"))
@@ -195,9 +195,8 @@ def lossy_graph_decode(spark, sf_dir):
     return graph_files.decoded(payloads)[1].filter(F.col("type").isin(*EDGE_TYPES)).select("key", "type")
 
 
-@query()
+@query("SELECT left(sha256(concat('node||', key)), 32) AS node_id, label, CAST((row_number() OVER (ORDER BY place) - 1) % 12 AS int) AS color_index FROM (SELECT lower(p_name) AS key, arg_min(p_name, (p_brand, p_partkey)) AS label, min((p_brand, p_partkey)) AS place FROM part GROUP BY 1)")
 def concept_colours(spark, sf_dir):
-    """Concepts with colours in turn."""
     part = Fixture(spark, sf_dir).table("part")
     rows = part.select(F.col("p_name").alias("label"), F.lit("concept").alias("type"), F.lit(None).cast("string").alias("summary"), F.lit("concept").alias("level"), F.lit(0.8).alias("confidence"), F.col("p_brand").alias("doc_id"), F.lit(0).alias("page"), F.col("p_name").alias("snippet"), F.col("p_partkey").alias("ord"))
     return extract.coloured(extract.upsert_labels(rows, ["doc_id", "ord"])[0]).select("node_id", "label", "color_index")

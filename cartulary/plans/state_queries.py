@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cartulary.operators import layout, lists, merge, search
 from cartulary.plans import pipelines
-from cartulary.plans.fixtures import ANCHORS, Fixture, duck
+from cartulary.plans.fixtures import ANCHORS, DUCK_PAGES, Fixture, duck
 from cartulary.plans.registry import query, with_tables
 from cartulary.sources import graph_files
 from cartulary.streaming import events as E
@@ -125,19 +125,33 @@ def merge_agreement(spark, sf_dir):
     return merge.agreement(labels.filter("quality = 1"), labels.filter("toxic = 1"), "doc_id")
 
 
-@query()
+#: Events of each user, accepted when the last accepted one is an hour or more before.
+@query(
+    with_tables(
+        "SELECT key, t AS \"at\", turn = 1 AND EXISTS (SELECT 1 FROM taken x WHERE x.key = timed.key AND x.t = timed.t) AS accepted FROM timed",
+        timed="SELECT CAST(user_id AS string) AS key, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id) AS turn FROM events",
+        taken="SELECT key, min(t) AS t FROM timed GROUP BY key UNION ALL SELECT x.key, min(e.t) FROM taken x JOIN timed e ON e.key = x.key AND e.t >= x.t + 3600 GROUP BY x.key, x.t",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+)
 def throttle_state(spark, sf_dir):
-    """Events of each user, accepted when the last accepted one is an hour or more before."""
     rows = Fixture(spark, sf_dir).table("events").select(F.col("user_id").cast("string").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     return E.throttled(rows.select("key", (F.col("us") / 1e6).alias("at")), 3600.0)
 
 
-@query()
+#: Each user's events as operations: some undo, some redo.
+@query(
+    with_tables(
+        "SELECT key, array_to_string(arg_max(undo, n), ',') AS undo, array_to_string(arg_max(redo, n), ',') AS redo FROM step GROUP BY key",
+        log="SELECT CAST(user_id AS string) AS key, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, CASE WHEN event_id % 5 = 0 THEN 'undo' WHEN event_id % 7 = 0 THEN 'redo' ELSE 'do' END AS action, event_type AS op FROM events",
+        step="""SELECT DISTINCT key, 0::BIGINT AS n, []::VARCHAR[] AS undo, []::VARCHAR[] AS redo FROM log
+  UNION ALL SELECT s.key, l.n, CASE WHEN action = 'do' THEN list_append(undo, op)[-50:] WHEN action = 'undo' THEN undo[:-2] WHEN len(redo) > 0 THEN list_append(undo, redo[-1])[-50:] ELSE undo END,
+    CASE WHEN action = 'do' THEN [] WHEN action = 'undo' AND len(undo) > 0 THEN list_append(redo, undo[-1]) WHEN action = 'redo' THEN redo[:-2] ELSE redo END FROM step s JOIN log l ON l.key = s.key AND l.n = s.n + 1""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+)
 def undo_log(spark, sf_dir):
-    """Each user's events as operations; those of one type undo, of another redo."""
     action = F.when(F.col("event_id") % 5 == 0, "undo").when(F.col("event_id") % 7 == 0, "redo").otherwise("do")
     log = Fixture(spark, sf_dir).table("events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), action.alias("action"), F.col("event_type").alias("op"))
-    return E.undo_stacks(log)
+    return E.undo_stacks(log).select("key", F.array_join("undo", ",").alias("undo"), F.array_join("redo", ",").alias("redo"))
 
 
 @query()
@@ -146,6 +160,23 @@ def extract_fast_pipeline(spark, sf_dir):
     return pipelines.fast(Fixture(spark, sf_dir).pages, pipelines.rule_based)["nodes"].select("node_id", "label", "type", "level", "confidence", "summary")
 
 
+@query()
+def extract_fast_edges(spark, sf_dir):
+    """Edges of the same graph."""
+    return pipelines.fast(Fixture(spark, sf_dir).pages, pipelines.rule_based)["edges"].select("edge_id", "src", "tgt", "type", "confidence", "label")
+
+
+@query(with_tables("SELECT DISTINCT doc_id, 'complete' AS state FROM pg WHERE regexp_matches(text, '\\S')", pg=DUCK_PAGES))
+def extract_fast_states(spark, sf_dir):
+    return pipelines.fast(Fixture(spark, sf_dir).pages, pipelines.rule_based)["states"]
+
+
+@query()
+def extract_deep_anchors(spark, sf_dir):
+    """Anchors that the deep pipeline makes with the rule-based model."""
+    return pipelines.deep(Fixture(spark, sf_dir).pages, pipelines.rule_based)["anchors"].select("node_id", "ord", "doc_id", "page", "snippet")
+
+
 @query()
 def extract_deep_pipeline(spark, sf_dir):
     """Nodes that the deep pipeline makes of the paged texts with the rule-based model."""

@@ -216,9 +216,9 @@ def string_functions(spark, sf_dir):
     return c.select("conv_id", "turn", T.quoted_json(F.col("text")).alias("quoted"), T.trimmed(F.col("text")).alias("bare"), F.lower(F.left("text", F.lit(30))).alias("prefix"))
 
 
-@query()
+#: Each document's first 40 code points, white space flattened, sought on all its pages.
+@query(with_tables("SELECT p.doc_id, p.page, trim(s.snippet) <> '' AND (contains(strip_accents(lower(p.text)), strip_accents(lower(s.snippet))) OR contains(lower(regexp_replace(p.text, '\\s+', ' ', 'g')), lower(trim(s.snippet)))) AS found FROM pg p JOIN (SELECT doc_id, left(regexp_replace(text, '\\s+', ' ', 'g'), 40) AS snippet FROM pg WHERE page = 0) s USING (doc_id)", **P))
 def passage_match(spark, sf_dir):
-    """Each document's first 40 code points, white space flattened, sought on all its pages."""
     pages = Fixture(spark, sf_dir).pages
     sought = pages.filter("page = 0").select("doc_id", F.left(F.regexp_replace("text", r"\s+", " "), F.lit(40)).alias("snippet"))
     return pages.join(sought, "doc_id").select("doc_id", "page", T.passage_found(F.col("text"), F.col("snippet")).alias("found"))

@@ -22,6 +22,17 @@ def debounced(events: DataFrame, key: str, ts: str, payload: str, delay: str, la
     return events.groupBy(key, session.alias("w")).agg(F.max_by(payload, ts).alias("payload"), F.count("*").alias("events")).select(key, F.col("w.end").alias("fires_at"), "payload", "events")
 
 
+def searches(terms: DataFrame, delay: float = 0.25) -> DataFrame:
+    """Debounced searches of each user: a term applies `delay` seconds after it if no other follows by then; an empty one at once.
+
+    terms: user_id, at (seconds), seq, term; the result has applies_at.
+    """
+    following = F.lead("at").over(Window.partitionBy("user_id").orderBy("at", "seq"))
+    timed = terms.withColumn("following", following)
+    applied = timed.filter((F.col("term") == "") | F.col("following").isNull() | (F.col("following") - F.col("at") >= delay))
+    return applied.select("user_id", "seq", "term", (F.col("at") + F.when(F.col("term") == "", 0.0).otherwise(F.lit(delay))).alias("applies_at"))
+
+
 def changes(events: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """Rows whose value differs from the one before."""
     before = F.lag(value).over(Window.partitionBy(key).orderBy(order))

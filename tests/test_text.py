@@ -167,6 +167,8 @@ def test_deep_pipeline_builds_what_the_clusters_answer_says(spark):
             return json.dumps([{"sourceLabel": "Copying", "targetLabel": "Fork", "type": "uses"}, {"sourceLabel": "Copying", "targetLabel": "Repair", "type": "dependsOn"}] if "Copying: how" in prompt and "Fork" not in prompt else [])
         if '"facts"' in prompt:
             return json.dumps({"facts": [{"claim": c, "textSpan": "span of " + c, "type": "claim"} for c in ("a", "b", "c")]})
+        if '"chapters"' in prompt:
+            return "no chapters"
         if " of e " in prompt:
             return "no answer"
         assert "0 (claim): a" in prompt and "5 (claim): c" in prompt
