@@ -27,10 +27,11 @@ ids may fill many blocks. A table without rows gives files without documents. Co
 
 from __future__ import annotations
 
+import json
 import sys
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -53,19 +54,18 @@ BITS, ORDER2, COUNTED0, COUNTED1 = 30, 20, 17, 18
 ODDS, FOLLOWED, REPEATED = 10, 24, 8
 #: Bytes of text that a file holds, as expected, and files up to which their offsets go to every executor.
 FILE_BYTES, MOST_SENT = 32 << 20, 100_000
-#: Pieces that each of a worker's two generations remembers.
-REMEMBERED = 500_000
+#: Pieces, and words, that each of a worker's two generations remembers.
+REMEMBERED = 250_000
+#: The pre-tokenisation by words, numbers and other signs, each with a space before it; a fixed value.
+WORDWISE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The last sign of which any version of Unicode says the same.
+FAMILIAR = "\u024f"
 _WHOLE, _LEAST = 1 << BITS, np.uint64(1 << 40)
 _BITS, _8, _16, _LOW16 = np.uint64(BITS), np.uint64(8), np.uint64(16), np.uint32(0xFFFF)
 #: What an id was coded by.
 GUESSED, FOLLOWS, OTHER = 0, 1, 2
 
 
-def _magnitude(x: np.ndarray) -> np.ndarray:
-    """Binary digits of whole numbers."""
-    return np.frexp(x.astype(np.float64))[1]
-
-
 def stretches(steps: int) -> list[tuple[int, int]]:
     """The steps between which the model learns: begin and end of each stretch."""
     ends = [0]
@@ -75,48 +75,50 @@ def stretches(steps: int) -> list[tuple[int, int]]:
 
 
 class Weights:
-    """How the orders share the whole at some contexts: arrays, one entry a context."""
+    """How the orders share the whole at some contexts: arrays, one entry a context.
+
+    Masses and counts are whole numbers held as floats: every product stays below 2**53, so a quotient cut to a whole number is exact.
+    """
 
     def __init__(self, m: Model, last: np.ndarray, before: np.ndarray):
         self.at2 = (last * np.uint32(0x85EBCA77) ^ before * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - m.order2)
         self.entry = m.table.take(self.at2)
-        self.guess, trust = self.entry & _LOW16, (self.entry >> np.uint32(16)).astype(np.int64)
+        self.guess, trust = self.entry & _LOW16, self.entry >> np.uint32(16)
         guessed = trust > 0
         place, known = m.find(last, self.guess)
         #: What order 1 counts for the guess, where its part begins, and for all others.
-        self.own = np.where(known & guessed, m.counts.take(place), 0)
+        self.own = m.counts.take(place) * (known & guessed)
         self.base = m.base.take(last)
         self.cut = m.cum1.take(place) - self.base
-        met = m.base.take(last + 1) - self.base
-        followers = m.row.take(last + 1) - m.row.take(last)
+        met = m.met.take(last)
         self.rest = met - self.own
-        odds = np.minimum(ODDS - 2, _magnitude((met + 1) // (self.own + 1))) + (self.own == 0)
+        # the binary digits of the odds, and of what order 1 has met, are exponents of floats
+        odds = np.minimum(np.frexp((met + 1) / (self.own + 1))[1], ODDS - 2) + (self.own == 0)
         #: Classes from which the masses are learned; 0 where an order has nothing to say.
-        self.class2 = np.where(guessed, trust * ODDS + odds, 0)
-        self.mass2 = np.where(guessed, m.worth2.take(self.class2), 0)
-        repeated = np.minimum(REPEATED - 1, _magnitude(met // np.maximum(followers, 1)))
-        self.class1 = np.where(self.rest > 0, (guessed * FOLLOWED + _magnitude(met)) * REPEATED + repeated, 0)
-        self.mass1 = np.where(self.rest > 0, (_WHOLE - self.mass2) * m.worth1.take(self.class1) >> 16, 0)
+        self.class2 = np.where(guessed, trust.astype(np.int32) * ODDS + odds, 0)
+        self.mass2 = m.worth2.take(self.class2)
+        self.class1 = np.where(self.rest > 0, m.kind.take(last) + guessed * np.int32(FOLLOWED * REPEATED), 0)
+        self.mass1 = np.floor((_WHOLE - self.mass2) * m.worth1.take(self.class1))
         self.mass0 = _WHOLE - self.mass2 - self.mass1
 
     def followers_part(self, m: Model, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin and size, within the whole, of the parts of order 1's entries at place, the guess cut out."""
         begin = m.cum1.take(place) - self.base
-        begin = np.where(begin > self.cut, begin - self.own, begin)
+        begin -= self.own * (begin > self.cut)
         rest = np.maximum(self.rest, 1)
-        low = begin * self.mass1 // rest
-        return self.mass2 + low, (begin + m.counts.take(place)) * self.mass1 // rest - low
+        low = np.floor(begin * self.mass1 / rest)
+        return self.mass2 + low, np.floor((begin + m.counts.take(place)) * self.mass1 / rest) - low
 
 
 class Model:
-    """What a block's ids so far say of the next. Counts and classes are arrays of whole numbers, so any machine gives the same."""
+    """What a block's ids so far say of the next. All of it is whole numbers and quotients cut to them, so any machine gives the same."""
 
     def __init__(self, ids: int):
         self.order2 = min(ORDER2, max(8, ids.bit_length()))
         #: Order 2: the id that came last after a hash of two, and above it how far it is trusted (1 to 3; 0: none yet).
         self.table = np.zeros(1 << self.order2, np.uint32)
         #: Order 1: sorted pairs (an id, its follower) and their counts; the last of all pairs is there before it is met.
-        self.pairs, self.counts = np.array([2**32 - 1], np.uint32), np.zeros(1, np.int64)
+        self.pairs, self.counts = np.array([2**32 - 1], np.uint32), np.zeros(1)
         self.seen = np.zeros(1 << 16, np.int64)
         #: Tried and held, by class.
         self.tried2, self.held2 = np.zeros((2, 4 * ODDS), np.int64)
@@ -125,46 +127,57 @@ class Model:
 
     def settle(self) -> None:
         """Make of the counts what weighing and coding look up."""
-        self.cum0 = np.concatenate([[0], np.cumsum(1 + (self.seen << COUNTED0) // max(1, int(self.seen.sum())))])
+        self.cum0 = np.concatenate([[0], np.cumsum(1 + (self.seen << COUNTED0) // max(1, int(self.seen.sum())))]).astype(np.float64)
         self.cum1 = np.concatenate([[0], np.cumsum(self.counts)])
-        self.row = np.concatenate([[0], np.cumsum(np.bincount(self.pairs >> np.uint32(16), minlength=1 << 16))])
-        self.base = self.cum1[self.row]
+        followers = np.bincount(self.pairs >> np.uint32(16), minlength=1 << 16)
+        row = np.cumsum(followers)
+        self.base = self.cum1[row - followers]
+        self.met = self.cum1[row] - self.base
+        #: The class of each id's followers, by how many have been met and how often each.
+        digits = np.minimum(np.frexp(self.met)[1], FOLLOWED - 1)
+        self.kind = digits * np.int32(REPEATED) + np.minimum(np.frexp(np.floor(self.met / np.maximum(followers, 1)))[1], REPEATED - 1)
         # every part stays wide enough for the finest division below it
-        self.worth2 = np.clip((2 * self.held2 + 1) * _WHOLE // (2 * self.tried2 + 2), 1 << 18, _WHOLE - (1 << 24))
-        self.worth1 = np.clip(((2 * self.held1 + 1) << 16) // (2 * self.tried1 + 2), 1 << 12, (1 << 16) - (1 << 10))
+        self.worth2 = np.clip((2 * self.held2 + 1) * _WHOLE // (2 * self.tried2 + 2), 1 << 18, _WHOLE - (1 << 24)).astype(np.float64)
+        self.worth1 = np.clip(((2 * self.held1 + 1) << 16) // (2 * self.tried1 + 2), 1 << 12, (1 << 16) - (1 << 10)) / (1 << 16)
+        self.worth2[0] = self.worth1[0] = 0
 
     def find(self, last: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the pairs stand or would, and whether they do."""
+        """Where the pairs stand or would, and whether they may."""
         wanted = last << np.uint32(16) | ids
-        place = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
-        return place, (self.pairs.take(place) == wanted) & (self.counts.take(place) > 0)
+        place = np.minimum(self.pairs.searchsorted(wanted), len(self.pairs) - 1)
+        return place, self.pairs.take(place) == wanted
 
     def parts(self, w: Weights, last: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Begin and size of each id's part of the whole, and what codes it."""
-        guessed = (w.class2 > 0) & (w.guess == ids)
         place, known = self.find(last, ids)
-        by = np.where(guessed, GUESSED, np.where(known & (w.rest > 0), FOLLOWS, OTHER))
-        begin1, size1 = w.followers_part(self, place)
-        total = int(self.cum0[-1])
-        low, high = self.cum0.take(ids) * w.mass0 // total, self.cum0.take(ids + 1) * w.mass0 // total
-        begin = np.where(by == GUESSED, 0, np.where(by == FOLLOWS, begin1, w.mass2 + w.mass1 + low))
-        return begin.astype(np.uint64), np.where(by == GUESSED, w.mass2, np.where(by == FOLLOWS, size1, high - low)).astype(np.uint64), by
+        by = np.where((w.class2 > 0) & (w.guess == ids), GUESSED, np.where(known & (w.class1 > 0) & (self.counts.take(place) > 0), FOLLOWS, OTHER)).astype(np.int8)
+        begin, size = w.followers_part(self, place)
+        self.others(w, np.flatnonzero(by == OTHER), ids, begin, size)
+        guessed = by == GUESSED
+        begin[guessed], size[guessed] = 0, w.mass2[guessed]
+        return begin.astype(np.uint64), size.astype(np.uint64), by
+
+    def others(self, w: Weights, at: np.ndarray, ids: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        """Set the parts of the ids at `at` to those of order 0."""
+        mass, found = w.mass0[at], ids[at]
+        low = np.floor(self.cum0.take(found) * mass / self.cum0[-1])
+        begin[at] = _WHOLE - mass + low
+        size[at] = np.floor(self.cum0.take(found + 1) * mass / self.cum0[-1]) - low
 
     def which(self, w: Weights, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The ids whose parts hold the values, those parts' begin and size, and what codes them."""
         inner = value - w.mass2
-        by = np.where(inner < 0, GUESSED, np.where(inner < w.mass1, FOLLOWS, OTHER))
-        count = ((inner + 1) * w.rest - 1) // np.maximum(w.mass1, 1)
-        place = np.searchsorted(self.cum1, w.base + np.where(count >= w.cut, count + w.own, count), side="right") - 1
-        place = np.minimum(place, len(self.pairs) - 1)
+        by = ((inner >= 0).view(np.int8) + (inner >= w.mass1)) * (value >= w.mass2)
+        count = np.floor(((inner + 1) * w.rest - 1) / np.maximum(w.mass1, 1))
+        count += w.base + w.own * (count >= w.cut)
+        place = np.minimum(self.cum1.searchsorted(count, side="right") - 1, len(self.pairs) - 1)
         begin, size = w.followers_part(self, place)
-        ids = np.where(by == GUESSED, w.guess, self.pairs.take(place) & _LOW16)
-        begin, size = np.where(by == GUESSED, 0, begin), np.where(by == GUESSED, w.mass2, size)
+        ids = self.pairs.take(place) & _LOW16
         if len(at := np.flatnonzero(by == OTHER)):
-            mass, total = w.mass0[at], int(self.cum0[-1])
-            found = np.searchsorted(self.cum0, ((inner[at] - w.mass1[at] + 1) * total - 1) // mass, side="right") - 1
-            low = self.cum0.take(found) * mass // total
-            ids[at], begin[at], size[at] = found, _WHOLE - mass + low, self.cum0.take(found + 1) * mass // total - low
+            ids[at] = self.cum0.searchsorted(np.floor(((inner[at] - w.mass1[at] + 1) * self.cum0[-1] - 1) / w.mass0[at]), side="right") - 1
+            self.others(w, at, ids, begin, size)
+        guessed = by == GUESSED
+        begin[guessed], size[guessed], ids[guessed] = 0, w.mass2[guessed], w.guess[guessed]
         return ids, begin.astype(np.uint64), size.astype(np.uint64), by
 
     def learn(self, ids: np.ndarray, last: np.ndarray, at2: np.ndarray, entry: np.ndarray, class2: np.ndarray, class1: np.ndarray, by: np.ndarray) -> None:
@@ -185,7 +198,7 @@ class Model:
         # old counts of a context give way where it has very many
         of = self.pairs >> np.uint32(16)
         large = np.bincount(of, weights=self.counts, minlength=1 << 16) > 1 << COUNTED1
-        self.counts = np.where(large.take(of), self.counts + 1 >> 1, self.counts)
+        self.counts = np.where(large.take(of), np.floor((self.counts + 1) / 2), self.counts)
         self.settle()
 
 
@@ -207,9 +220,11 @@ def encode_block(ids: np.ndarray) -> list[bytes]:
     filled = np.ones(lanes, np.int64)  # the first digit takes a carry alone
     for a, b in stretches(steps):
         now, last, before = columns[a + 2 : b + 2].ravel(), columns[a + 1 : b + 1].ravel(), columns[a:b].ravel()
-        w = Weights(m, last, before)
-        begins, sizes, by = m.parts(w, last, now)
-        for begin, size in zip(begins.reshape(-1, lanes), sizes.reshape(-1, lanes), strict=True):
+        learned = []
+        for at in range(0, len(now), lanes):
+            here = slice(at, at + lanes)
+            w = Weights(m, last[here], before[here])
+            begin, size, by = m.parts(w, last[here], now[here])
             unit = span >> _BITS
             low += unit * begin
             span = unit * size
@@ -219,7 +234,8 @@ def encode_block(ids: np.ndarray) -> list[bytes]:
                 filled[small] += 1
                 low[small] = (v & np.uint64((1 << 40) - 1)) << _16
                 span[small] <<= _16
-        m.learn(now, last, w.at2, w.entry, w.class2, w.class1, by)
+            learned.append((w.at2, w.entry, w.class2, w.class1, by))
+        m.learn(now, last, *map(np.concatenate, zip(*learned, strict=True)))
     lane = np.arange(lanes)
     for shift in (40, 24, 8):
         digits[lane, filled] = low >> np.uint64(shift)
@@ -253,8 +269,12 @@ def decode_block(streams: list[bytes], n: int) -> np.ndarray:
         for step in range(a, b):
             w = Weights(m, columns[step + 1], columns[step])
             unit = span >> _BITS
+            # a quotient of floats is off by one at most
+            value = np.floor(code.astype(np.float64) / unit)
+            over = (code - unit * value.astype(np.uint64)).view(np.int64)
+            value += (over >= unit.view(np.int64)).view(np.int8) - (over < 0).view(np.int8)
             # a damaged stream may ask for more than there is; its checksum tells
-            ids, begin, size, by = m.which(w, np.minimum(code // unit, np.uint64(_WHOLE - 1)).astype(np.int64))
+            ids, begin, size, by = m.which(w, np.minimum(value, _WHOLE - 1))
             code, span = code - unit * begin, unit * np.maximum(size, np.uint64(1))
             while len(small := np.flatnonzero(span < _LEAST)):
                 here = at[small]
@@ -321,51 +341,85 @@ def read_segments(data: bytes) -> Iterator[tuple[int, list[int | None], np.ndarr
         yield part, [i if x else None for i, x in zip(idents, named, strict=True)], sizes, ids
 
 
-class Encoder(dict):
+class Remembered(dict):
+    """What keys met lately gave, in two generations of at most `most`; make(key) for others."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class Uneven(Exception):
+    """A text that does not fall into words at its single spaces and line feeds."""
+
+
+class Encoder:
     """The tokenizers library's ids of whole texts, as packed 16-bit numbers.
 
-    A text goes to the library piece by piece as its own pre-tokenisation cuts it, each piece once while it is
-    remembered, and those of several texts together; a text that holds one of the library's added tokens goes whole.
-    As a dict: what pieces met lately gave; `older` is the generation before.
+    The library's pre-tokenisation cuts a text into pieces that its model encodes one by one, so a piece is encoded once while it
+    is remembered. Where it cuts by WORDWISE, a single space or line feed between other signs always begins a piece, so
+    the words between such are encoded once as well. What may be cut otherwise than by `pattern` goes to the library whole:
+    a text that holds one of its added tokens, and a piece with signs beyond FAMILIAR.
     """
 
     def __init__(self, path: str, pattern: str):
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.older: dict[str, bytes] = {}
         self.library = Tokenizer.from_file(path)
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids are stored in 16 bits")
         if sys.byteorder != "little":
             raise ValueError("ids are packed as this machine orders bytes, which has to be little-endian")
-        self.pieces = regex.compile(pattern).findall
+        self.cut = regex.compile(pattern).findall
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-
-    def asked(self, texts: list[str]) -> list[bytes]:
-        return [array("H", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def meet(self, pieces: set[str]) -> dict[str, bytes]:
-        """The ids of pieces that aren't among those met lately; from now on they are."""
-        old = {p: x for p in pieces if (x := self.older.get(p)) is not None}
-        new = [p for p in pieces if p not in old]
-        found = old | dict(zip(new, self.asked(new), strict=True))
-        if len(self) + len(found) > REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-        self.update(found)
-        return found
+        form = json.loads(self.library.to_str())
+        byte_level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        self.direct = pattern == WORDWISE and form["normalizer"] is None and byte_level.items() <= (form["pre_tokenizer"] or {}).items()
+        self.tokenize = self.library.model.tokenize
+        signs = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        #: How the model writes the bytes 0 to 127.
+        self.marks = {k: signs(chr(k))[0][0] for k in range(128)}
+        self.signs = lambda piece: piece.translate(self.marks) if piece.isascii() else signs(piece)[0][0]
+        self.pieces, self.words = Remembered(self.piece, REMEMBERED), Remembered(self.word, REMEMBERED)
+
+    def piece(self, piece: str) -> bytes:
+        if self.direct and max(piece) <= FAMILIAR:
+            return array("H", [t.id for t in self.tokenize(self.signs(piece))]).tobytes()
+        return array("H", self.library.encode(piece, add_special_tokens=False).ids).tobytes()
+
+    def word(self, word: str) -> bytes:
+        """The ids of a word with the space before it, or with the line feed that it begins with."""
+        bare = word.removeprefix("\n")
+        if not bare or not (bare[0] + bare[-1]).isprintable() or bare[0].isspace() or bare[-1].isspace():
+            raise Uneven
+        return self.by_pieces(word if bare is not word else " " + word)
+
+    def by_pieces(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.cut(text)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = {k for k, t in enumerate(texts) if any(x in t for x in self.added)}
-        cut = [[] if k in whole else self.pieces(t) for k, t in enumerate(texts)]
-        known = [list(map(self.get, pieces)) for pieces in cut]
-        found = self.meet({p for pieces, ids in zip(cut, known, strict=True) if None in ids for p, x in zip(pieces, ids, strict=True) if x is None})
-        out = [b"".join(ids if None not in ids else [found[p] if x is None else x for p, x in zip(pieces, ids, strict=True)]) for pieces, ids in zip(cut, known, strict=True)]
-        rest = sorted(whole)
-        for k, packed in zip(rest, self.asked([texts[k] for k in rest]), strict=True):
-            out[k] = packed
-        return out
+        return [self.encode_one(t) for t in texts]
+
+    def encode_one(self, text: str) -> bytes:
+        if any(x in text for x in self.added):
+            return array("H", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        if self.direct:
+            first, *words = text.replace("\n", " \n").split(" ")
+            try:
+                return self.by_pieces(first) + b"".join(map(self.words.__getitem__, words))
+            except Uneven:
+                pass
+        return self.by_pieces(text)
 
 
 @lru_cache(maxsize=2)
