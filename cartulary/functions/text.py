@@ -27,11 +27,18 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(x == y, F.lit(1.0)).otherwise(F.lit(1.0) - F.levenshtein(x, y) / longest)
 
 
+def most_edits(longest: Column, least: float) -> Column:
+    """No fewer edits than a similarity over `least` allows two labels whose longer length is `longest`."""
+    return (F.ceil(longest * F.lit(1 - least) + F.lit(1e-9)) - 1).cast("int")
+
+
 def over_similarity(a: Column, b: Column, least: float) -> Column:
     """similarity(a, b) > least, cheap tests first: lengths, then an edit distance that stops at its bound."""
     x, y = normalised(a), normalised(b)
     longest = F.greatest(F.length(x), F.length(y))
-    return (F.abs(F.length(x) - F.length(y)) <= F.lit(1 - least) * longest) & (similarity(a, b) > F.lit(least))
+    edits = F.call_function("levenshtein", x, y, most_edits(longest, least))
+    near = (edits >= 0) & (F.lit(1.0) - edits / longest > F.lit(least))
+    return (F.abs(F.length(x) - F.length(y)) <= F.lit(1 - least) * longest) & F.when(x == y, F.lit(least < 1)).otherwise(near)
 
 
 def sha_prefix(text: Column) -> Column:

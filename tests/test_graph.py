@@ -1,5 +1,7 @@
 """Graph operators on small literal graphs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,3 +173,29 @@ def test_merges_are_followed_to_the_end_of_any_chain(spark):
     assert rows(merge.resolved_merges(m)) == [(f"n{k:03}", "n070") for k in range(70)] + [("z", "n070")]
     with pytest.raises(ValueError, match="circle"):
         merge.resolved_merges(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "a")], "source string, target string"))
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        above, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("least", [0.3, 0.5, 0.7, 0.9])
+def test_proposals_lose_no_pair_of_similar_labels(spark, least):
+    rng = random.Random(int(10 * least))
+    words = ["", "a", "b", "ab", "ba", *("".join(rng.choice("abé") for _ in range(rng.randrange(1, 15))) for _ in range(60))]
+    near = [w[:k] + rng.choice(["", "a", "bb"]) + w[k + rng.randrange(3) :] for w in words for k in [rng.randrange(len(w) + 1)]]
+    schema = "node_id string, label string, docs array<string>"
+    made = lambda side, labels: spark.createDataFrame([(f"{side}{k}", x, [side]) for k, x in enumerate([*labels, None])], schema)
+    got = {(r.id_a, r.id_b): r.similarity for r in merge.merge_proposals(made("a", words), made("b", near), least).collect()}
+    want = {}
+    for i, x in enumerate(words):
+        for j, y in enumerate(near):
+            alike = 1.0 if x == y else 1.0 - distance(x, y) / max(len(x), len(y))
+            if alike > least and abs(len(x) - len(y)) <= (1 - least) * max(len(x), len(y)):
+                want[f"a{i}", f"b{j}"] = alike
+    assert got == want and want
