@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from cartulary.functions.json_repair import repair
 from cartulary.functions.text import normalised, ordered_join
 from cartulary.schema import CONCEPT_TYPES, CONTAINMENT_TYPES, EDGE_TYPES, PALETTE_SIZE, lenient, node_identity
+from cartulary.tables import kept
 
 ENTITY = "struct<label:string,type:string,summary:string,textSpan:string,confidence:double>"
 CONCEPT = f"struct<label:string,type:string,summary:string,textSpan:string,confidence:double,entities:array<{ENTITY}>>"
@@ -85,9 +86,12 @@ def resolve_anchors(spans: DataFrame, blocks: DataFrame, pages: DataFrame) -> Da
     wanted = spans.withColumn("whole", normalised(F.col("span"))).filter("whole <> ''").withColumn("prefix", F.left("whole", F.lit(PREFIX)))
     by_page = wanted.withColumn("page", F.explode(F.expr("sequence(page_lo, page_hi - 1)"))).filter("page_lo < page_hi")
     near = by_page.join(blocks.select("doc_id", "page", "line_no", F.lower("text").alias("line")), ["doc_id", "page"]).filter(F.contains("line", "prefix"))
-    in_block = near.select("span_id", F.when(F.contains("line", "whole"), 1).otherwise(2).alias("tier"), "page", "line_no", "span")
-    anywhere = wanted.join(pages.select("doc_id", "page", F.lower("text").alias("line")), "doc_id").filter(F.contains("line", "prefix")).select("span_id", F.lit(3).alias("tier"), "page", F.lit(-1).alias("line_no"), "span")
-    best = in_block.unionByName(anywhere).groupBy("span_id").agg(F.min(F.struct("tier", "page", "line_no", "span")).alias("b"))
+    first = lambda found: found.groupBy("span_id").agg(F.min(F.struct("tier", "page", "line_no", "span")).alias("b"))
+    in_block = kept(first(near.withColumn("tier", F.when(F.contains("line", "whole"), 1).otherwise(2))), "anchors")
+    # only what stands in no block of its batch meets the pages of its document
+    rest = wanted.join(in_block.select("span_id"), "span_id", "left_anti")
+    anywhere = rest.join(pages.select("doc_id", "page", F.lower("text").alias("line")), "doc_id").filter(F.contains("line", "prefix")).withColumns({"tier": F.lit(3), "line_no": F.lit(-1)})
+    best = in_block.unionByName(first(anywhere))
     return best.select("span_id", "b.tier", "b.page", "b.line_no", F.left("b.span", F.lit(SNIPPET)).alias("snippet"))
 
 
