@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,10 +41,16 @@ def citation_anchors(citations: DataFrame, anchors: DataFrame, same_document: bo
     citations: citation_id, text, page (null finds nothing), and doc_id where the document has to be the same.
     """
     on = ["page", "doc_id"] if same_document else ["page"]
-    met = citations.filter("page is not null").join(anchors.drop(*({"doc_id"} - set(on))), on)
-    match = holds(F.col("snippet"), F.col("text")) | holds(F.col("text"), F.col("snippet"))
-    best = F.min(F.struct(F.when(match, 0).otherwise(1).alias("miss"), "node_id", "ord")).alias("best")
-    return met.groupBy("citation_id").agg(best).select("citation_id", "best.node_id", "best.ord", (F.col("best.miss") == 0).alias("matched"))
+    # what is asked for and what is quoted in the same words meets once, whatever its number of copies
+    wanted = citations.filter("page is not null").select("citation_id", *on, F.lower("text").alias("said"))
+    quoted = anchors.groupBy(*on, F.lower("snippet").alias("quote")).agg(F.min(F.struct("node_id", "ord")).alias("first"))
+    asked = wanted.select(*on, "said").distinct()
+    met = asked.join(quoted, on)
+    match = holds(F.col("quote"), F.col("said")) | holds(F.col("said"), F.col("quote"))
+    found = met.groupBy(*on, "said").agg(F.min(F.struct(F.when(match, 0).otherwise(1).alias("miss"), "first.node_id", "first.ord")).alias("best"))
+    same = [wanted[c] == found[c] for c in on]
+    each = wanted.join(found, reduce(and_, [*same, wanted["said"].eqNullSafe(found["said"])])).groupBy("citation_id").agg(F.min("best").alias("best"))
+    return each.select("citation_id", "best.node_id", "best.ord", (F.col("best.miss") == 0).alias("matched"))
 
 
 def navigation_anchors(anchors: DataFrame, current_doc: str) -> DataFrame:
