@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cartulary.operators import search
+from cartulary.operators import answer, search
 
 
 def joined(df):
@@ -33,3 +33,13 @@ def test_citations_and_snippets_that_repeat_meet_once(spark):
     assert found == [(i, "n1001" if i % 3 == 0 else "n1000", 0, i % 3 == 0) for i in range(n)]
     assert 0 < most <= 2 * n
     assert joined(search.citation_anchors(cited.withColumn("doc_id", F.lit("d")), at, same_document=True))[1] == found
+
+
+def test_questions_with_the_same_citation_meet_its_anchors_once(spark):
+    n = 400
+    said = F.array(F.struct(F.lit("IN D1 on").alias("text"), F.lit(2).alias("pageIndex")), F.struct(F.lit("x").alias("text"), F.lit(None).cast("int").alias("pageIndex")))
+    replies = spark.range(n).select(F.col("id").alias("question_id"), F.lit("assistant").alias("role"), said.alias("citations"))
+    at = spark.range(n).select(F.concat(F.lit("n"), F.col("id") + 1000).alias("node_id"), F.lit(0).alias("ord"), F.lit("d").alias("doc_id"), F.lit(2).alias("page"), F.concat(F.lit("seen in d"), F.col("id") % 5, F.lit(" on 2")).alias("snippet"))
+    most, found = joined(answer.cited(replies, at))
+    assert found == [(i, 0, "n1001", True) for i in range(n)]
+    assert 0 < most <= 2 * n
