@@ -2,7 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from cartulary import tables
 from cartulary.operators import answer, search
+from cartulary.plans import pipelines
+from cartulary.plans.fixtures import Fixture
+from tests.conftest import rows
 
 
 def joined(df):
@@ -43,3 +47,23 @@ def test_questions_with_the_same_citation_meet_its_anchors_once(spark):
     most, found = joined(answer.cited(replies, at))
     assert found == [(i, 0, "n1001", True) for i in range(n)]
     assert 0 < most <= 2 * n
+
+
+def test_pages_are_cut_without_a_shuffle_unless_ids_repeat(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a\nb\r\nc\rd\n\n"), (2, None), (3, "x\n" * 8)], "doc_id bigint, text string")
+    docs.write.parquet(str(tmp_path / "once" / "documents.parquet"))
+    docs.union(docs.filter("doc_id = 1")).write.parquet(str(tmp_path / "twice" / "documents.parquet"))
+    once, twice = (Fixture(spark, str(tmp_path / at)).pages for at in ("once", "twice"))
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
+    assert rows(once) == [("doc1", 0, "a\nb\nc\nd"), ("doc1", 1, "\n"), ("doc2", 0, ""), ("doc3", 0, "x\nx\nx\nx"), ("doc3", 1, "x\nx\nx\nx"), ("doc3", 2, "")]
+    assert rows(twice)[0] == ("doc1", 0, "a\na\nb\nb\nc\nc\nd\nd")
+    assert rows(twice)[2:] == rows(once)[2:]
+
+
+def test_the_fast_pipeline_keeps_no_table_of_places(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "shared_folder", lambda spark: f"file://{tmp_path}")
+    pages = spark.createDataFrame([("d", 0, "Energy is kept. Always.\nMomentum too.")], "doc_id string, page int, text string")
+    assert pipelines.fast(pages, pipelines.rule_based)["anchors"].count() > 0
+    left = {p.name.split("-")[0] for p in tmp_path.iterdir()}
+    assert "anchored" in left and "anchors" not in left
+    assert "span" not in spark.read.parquet(*(str(p) for p in tmp_path.iterdir() if p.name.startswith("anchored"))).columns
