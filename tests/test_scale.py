@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cartulary import tables
-from cartulary.operators import answer, layout, merge, search
+from cartulary.operators import answer, graph, layout, merge, search
 from cartulary.plans import pipelines, state_queries
 from cartulary.plans.fixtures import Fixture
 from tests.conftest import rows
@@ -52,6 +52,29 @@ def test_questions_with_the_same_citation_meet_its_anchors_once(spark):
     assert 0 < most <= 2 * n
 
 
+def test_pairs_of_chapters_are_made_once_and_not_joined(spark, monkeypatch):
+    n = 120
+    pages = spark.range(n).select(F.concat(F.lit("doc"), "id").alias("doc_id"), F.lit(0).alias("page"))
+    nodes = spark.createDataFrame([(x, x, "concept", "concept", 0.9, None) for x in "abc"], "node_id string, label string, type string, level string, confidence double, summary string")
+    anchors = pages.crossJoin(nodes.select("node_id")).filter("node_id <> 'c' or doc_id < 'doc2'").select("node_id", F.lit(0).alias("ord"), "doc_id", "page", F.lit("").alias("snippet"))
+    edges = spark.createDataFrame([("1", "a", "b", "uses", 1.0, None), ("2", "b", "c", "uses", 1.0, None), ("3", "b", "c", "cites", 1.0, None)], "edge_id string, src string, tgt string, type string, confidence double, label string")
+    sections = pages.select("doc_id", F.lit("all").alias("title"), F.lit(0).alias("page_start"))
+    made = pipelines.folded(pages, nodes, anchors, edges, sections)
+    most, found = joined(made["edges"].filter("label = 'aggregated'"))
+    c = len({f"doc{i}" for i in range(n) if f"doc{i}" < "doc2"})
+    assert len(found) == len({r[1:4] for r in found}) == n * (n - 1) + c * (n - 1)
+    assert most <= 5 * n
+    monkeypatch.setattr(graph, "FROM", 7)
+    monkeypatch.setattr(graph, "TO", 11)
+    monkeypatch.setattr(graph, "ROWS", 50)
+    # two of the edges are there already, and one of another type
+    plain = [r[1:4] for r in found]
+    have = made["edges"].filter("label is null").select("src", "tgt", "type").union(spark.createDataFrame([plain[0], plain[-1], (*plain[1][:2], "extends")], "src string, tgt string, type string"))
+    want = rows(graph.chapter_edges(made["nodes"], have))
+    assert rows(graph.chapter_edges_in_blocks(made["nodes"], have, n)) == want
+    assert len(want) == len(found) - 2
+
+
 def test_pages_are_cut_without_a_shuffle_unless_ids_repeat(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a\nb\r\nc\rd\n\n"), (2, None), (3, "x\n" * 8)], "doc_id bigint, text string")
     docs.write.parquet(str(tmp_path / "once" / "documents.parquet"))
