@@ -2,7 +2,7 @@
 
 A file holds segments one after another, each closed by a line feed. A segment holds whole documents:
 
-    magic "CMIX2\\n"; five unsigned 32-bit numbers: the file's place among all files, documents, blocks, ids (its high and low half are two)
+    magic "CMIX3\\n"; five unsigned 32-bit numbers: the file's place among all files, documents, blocks, ids (its high and low half are two)
     each document's id (signed 64 bits), whether it has one (a byte), its number of ids (32 bits)
     each block's ids, lanes and crc32 of its ids as 16-bit numbers (32 bits each), then the bytes of each of its lanes (32 bits each)
     the lanes' streams
@@ -33,9 +33,12 @@ import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import accumulate
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, IntegralType, LongType, StructField, StructType
@@ -43,25 +46,29 @@ from pyspark.sql.window import Window
 
 from cartulary.llm.common import col, pieces_of, tidied, workers_import
 
-MAGIC = b"CMIX2\n"
+MAGIC = b"CMIX3\n"
 #: Ids of a block; lanes of one, at most, and ids that a lane has at least, if the block has them.
 BLOCK, LANES, STRETCH = 1 << 21, 4096, 256
 #: How many times the steps learned from are those of the next stretch, at least one.
 GROWTH = 0.5
 #: Bits of a probability, of the table of order 2 at most, and of counts: those of order 0 and of a context of order 1.
-BITS, ORDER2, COUNTED0, COUNTED1 = 30, 20, 17, 18
-#: Classes of trust in order 2's guess by its odds in order 1, and of contexts of order 1 by counts and by counts a follower.
-ODDS, FOLLOWED, REPEATED = 10, 24, 8
+BITS, ORDER2, COUNTED0, COUNTED1 = 28, 20, 17, 18
+#: Most trust in order 2's guess, classes of its odds in order 1, and of contexts of order 1 by counts and by counts a follower.
+TRUST, ODDS, FOLLOWED, REPEATED = 3, 10, 24, 8
 #: Bytes of text that a file holds, as expected, and files up to which their offsets go to every executor.
 FILE_BYTES, MOST_SENT = 32 << 20, 100_000
-#: Pieces, and words, that each of a worker's two generations remembers.
-REMEMBERED = 250_000
+#: Pieces that each of a worker's two generations remembers (a quarter as many words that are more than letters and signs after them), and bytes of text that are cut at once, at least.
+REMEMBERED, CHUNK = 500_000, 8 << 20
+#: Signs that, after letters and before a space, a line feed or the end, are a piece of their own: those of ASCII, but for the apostrophe.
+CLOSING = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: The pre-tokenisation by words, numbers and other signs, each with a space before it; a fixed value.
 WORDWISE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The last sign of which any version of Unicode says the same.
 FAMILIAR = "\u024f"
-_WHOLE, _LEAST = 1 << BITS, np.uint64(1 << 40)
-_BITS, _8, _16, _LOW16 = np.uint64(BITS), np.uint64(8), np.uint64(16), np.uint32(0xFFFF)
+UNFAMILIAR = r"[^\x{0}-\x{24F}]"
+_WHOLE, _SPAN, _LEAST, _LOW16 = 1 << BITS, float(1 << 48), float(1 << 32), np.uint32(0xFFFF)
+#: Where a packed pair holds its first id and all counts before it, and an entry of order 2 its trust; what masks a count and a pair's number.
+_OWNER, _CUM, _TRUST, _COUNT, _PAIR = 44, 22, 24, (1 << 22) - 1, (1 << 24) - 1
 #: What an id was coded by.
 GUESSED, FOLLOWS, OTHER = 0, 1, 2
 
@@ -77,128 +84,166 @@ def stretches(steps: int) -> list[tuple[int, int]]:
 class Weights:
     """How the orders share the whole at some contexts: arrays, one entry a context.
 
-    Masses and counts are whole numbers held as floats: every product stays below 2**53, so a quotient cut to a whole number is exact.
+    Masses are whole numbers held as floats: every product stays below 2**53, so a quotient cut to a whole number is exact.
     """
 
     def __init__(self, m: Model, last: np.ndarray, before: np.ndarray):
         self.at2 = (last * np.uint32(0x85EBCA77) ^ before * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - m.order2)
-        self.entry = m.table.take(self.at2)
-        self.guess, trust = self.entry & _LOW16, self.entry >> np.uint32(16)
-        guessed = trust > 0
-        place, known = m.find(last, self.guess)
+        entry = m.table.take(self.at2)
+        #: Order 2's pair, and how far it is trusted.
+        self.guess, self.trust = entry & _PAIR, entry >> _TRUST
+        pair, context = m.packed.take(self.guess), m.context.take(last)
+        guessed = (pair >> _OWNER) == last
         #: What order 1 counts for the guess, where its part begins, and for all others.
-        self.own = m.counts.take(place) * (known & guessed)
-        self.base = m.base.take(last)
-        self.cut = m.cum1.take(place) - self.base
-        met = m.met.take(last)
+        self.own = (pair & _COUNT) * guessed
+        self.base = context & _COUNT
+        self.cut = (pair >> _CUM & _COUNT) - self.base
+        met = context >> _CUM & _COUNT
         self.rest = met - self.own
-        # the binary digits of the odds, and of what order 1 has met, are exponents of floats
-        odds = np.minimum(np.frexp((met + 1) / (self.own + 1))[1], ODDS - 2) + (self.own == 0)
+        # the binary digits of the odds are the exponent of a float
+        odds = np.minimum((((met + 1) / (self.own + 1)).view(np.int64) >> 52) - 1022, ODDS - 2) + (self.own == 0)
         #: Classes from which the masses are learned; 0 where an order has nothing to say.
-        self.class2 = np.where(guessed, trust.astype(np.int32) * ODDS + odds, 0)
+        self.class2 = (self.trust * ODDS + odds) * guessed
         self.mass2 = m.worth2.take(self.class2)
-        self.class1 = np.where(self.rest > 0, m.kind.take(last) + guessed * np.int32(FOLLOWED * REPEATED), 0)
+        self.class1 = ((context >> _OWNER) + guessed * (FOLLOWED * REPEATED)) * (self.rest > 0)
         self.mass1 = np.floor((_WHOLE - self.mass2) * m.worth1.take(self.class1))
-        self.mass0 = _WHOLE - self.mass2 - self.mass1
 
-    def followers_part(self, m: Model, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and size, within the whole, of the parts of order 1's entries at place, the guess cut out."""
-        begin = m.cum1.take(place) - self.base
+    def followers_part(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and size, within the whole, of the parts of order 1's packed pairs, the guess cut out."""
+        begin = (pair >> _CUM & _COUNT) - self.base
         begin -= self.own * (begin > self.cut)
         rest = np.maximum(self.rest, 1)
         low = np.floor(begin * self.mass1 / rest)
-        return self.mass2 + low, np.floor((begin + m.counts.take(place)) * self.mass1 / rest) - low
+        return self.mass2 + low, np.floor((begin + (pair & _COUNT)) * self.mass1 / rest) - low
 
 
 class Model:
-    """What a block's ids so far say of the next. All of it is whole numbers and quotients cut to them, so any machine gives the same."""
+    """What a block's ids so far say of the next. All of it is whole numbers and quotients cut to them, so any machine gives the same.
 
-    def __init__(self, ids: int):
+    A pair (an id, its follower) has a number, by which all of it is looked up. Pairs that are not met yet, which the encoder knows,
+    have no part of anything; number 0 is no pair.
+    """
+
+    def __init__(self, ids: int, pairs: np.ndarray | None = None):
         self.order2 = min(ORDER2, max(8, ids.bit_length()))
-        #: Order 2: the id that came last after a hash of two, and above it how far it is trusted (1 to 3; 0: none yet).
-        self.table = np.zeros(1 << self.order2, np.uint32)
-        #: Order 1: sorted pairs (an id, its follower) and their counts; the last of all pairs is there before it is met.
-        self.pairs, self.counts = np.array([2**32 - 1], np.uint32), np.zeros(1)
+        #: Order 2: the pair that came last after a hash of two ids, and above it how far it is trusted (0: none yet).
+        self.table = np.zeros(1 << self.order2, np.int32)
+        #: Order 1: the pairs in order, their numbers in that order (None: they are numbered in it), and by number the pairs' counts and followers.
+        self.pairs = np.zeros(0, np.uint32) if pairs is None else pairs
+        self.order = np.zeros(0, np.int64) if pairs is None else None
+        self.counts = np.zeros(1 + len(self.pairs), np.int64)
+        self.follower = np.concatenate([[0], self.pairs & _LOW16]).astype(np.uint32)
+        self.arrange()
         self.seen = np.zeros(1 << 16, np.int64)
         #: Tried and held, by class.
-        self.tried2, self.held2 = np.zeros((2, 4 * ODDS), np.int64)
+        self.tried2, self.held2 = np.zeros((2, (TRUST + 1) * ODDS), np.int64)
         self.tried1, self.held1 = np.zeros((2, 2 * FOLLOWED * REPEATED), np.int64)
         self.settle()
 
+    def arrange(self) -> None:
+        self.owner = (self.pairs >> np.uint32(16)).astype(np.int64)
+        self.row = np.concatenate([[0], np.cumsum(np.bincount(self.owner, minlength=1 << 16))])
+        self.owner <<= _OWNER
+
     def settle(self) -> None:
         """Make of the counts what weighing and coding look up."""
-        self.cum0 = np.concatenate([[0], np.cumsum(1 + (self.seen << COUNTED0) // max(1, int(self.seen.sum())))]).astype(np.float64)
-        self.cum1 = np.concatenate([[0], np.cumsum(self.counts)])
-        followers = np.bincount(self.pairs >> np.uint32(16), minlength=1 << 16)
-        row = np.cumsum(followers)
-        self.base = self.cum1[row - followers]
-        self.met = self.cum1[row] - self.base
-        #: The class of each id's followers, by how many have been met and how often each.
-        digits = np.minimum(np.frexp(self.met)[1], FOLLOWED - 1)
-        self.kind = digits * np.int32(REPEATED) + np.minimum(np.frexp(np.floor(self.met / np.maximum(followers, 1)))[1], REPEATED - 1)
+        self.cum0 = np.concatenate([[0], np.cumsum(1 + (self.seen << COUNTED0) // max(1, int(self.seen.sum())))])
+        counts = self.counts[1:] if self.order is None else self.counts.take(self.order)
+        cum = np.concatenate([[0], np.cumsum(counts)])
+        packed = self.owner | cum[:-1] << _CUM | counts
+        self.packed = np.empty(len(counts) + 1, np.int64)
+        self.packed[0] = 1 << 16 + _OWNER  # after no id
+        self.packed[slice(1, None) if self.order is None else self.order] = packed
+        if self.order is not None:
+            self.slots = np.repeat(self.order.astype(np.int32), counts)
+            self.slots0 = np.repeat(np.arange(1 << 16, dtype=np.uint16), np.diff(self.cum0))
+        base = cum.take(self.row)
+        met = np.diff(base)
+        followers = np.diff(np.concatenate([[0], np.cumsum(counts > 0, dtype=np.int32)]).take(self.row))
+        #: Of each id: where its followers begin, how many have been met, and the class of the two by how often each.
+        kind = np.minimum(np.frexp(met)[1], FOLLOWED - 1) * REPEATED + np.minimum(np.frexp(met // np.maximum(followers, 1))[1], REPEATED - 1)
+        self.context = base[:-1] | met << _CUM | kind.astype(np.int64) << _OWNER
         # every part stays wide enough for the finest division below it
-        self.worth2 = np.clip((2 * self.held2 + 1) * _WHOLE // (2 * self.tried2 + 2), 1 << 18, _WHOLE - (1 << 24)).astype(np.float64)
-        self.worth1 = np.clip(((2 * self.held1 + 1) << 16) // (2 * self.tried1 + 2), 1 << 12, (1 << 16) - (1 << 10)) / (1 << 16)
+        self.worth2 = np.clip((2 * self.held2 + 1) * _WHOLE // (2 * self.tried2 + 2), 1 << 16, _WHOLE - (1 << 23)).astype(np.float64)
+        self.worth1 = np.clip(((2 * self.held1 + 1) << 16) // (2 * self.tried1 + 2), 1 << 12, (1 << 16) - (1 << 11)) / (1 << 16)
         self.worth2[0] = self.worth1[0] = 0
 
-    def find(self, last: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the pairs stand or would, and whether they may."""
-        wanted = last << np.uint32(16) | ids
-        place = np.minimum(self.pairs.searchsorted(wanted), len(self.pairs) - 1)
-        return place, self.pairs.take(place) == wanted
-
-    def parts(self, w: Weights, last: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Begin and size of each id's part of the whole, and what codes it."""
-        place, known = self.find(last, ids)
-        by = np.where((w.class2 > 0) & (w.guess == ids), GUESSED, np.where(known & (w.class1 > 0) & (self.counts.take(place) > 0), FOLLOWS, OTHER)).astype(np.int8)
-        begin, size = w.followers_part(self, place)
-        self.others(w, np.flatnonzero(by == OTHER), ids, begin, size)
-        guessed = by == GUESSED
-        begin[guessed], size[guessed] = 0, w.mass2[guessed]
-        return begin.astype(np.uint64), size.astype(np.uint64), by
+    def parts(self, w: Weights, pairs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begin and size of each numbered pair's part of the whole, and what codes it; ids: the pairs' followers."""
+        pair = self.packed.take(pairs)
+        begin, size = w.followers_part(pair)
+        guessed = (w.guess == pairs) & (w.class2 > 0)
+        others = ((pair & _COUNT) == 0) | (w.class1 == 0)
+        others &= ~guessed
+        self.others(w, np.flatnonzero(others), ids, begin, size)
+        np.copyto(begin, 0, where=guessed)
+        np.copyto(size, w.mass2, where=guessed)
+        return begin, size, np.where(guessed, GUESSED, FOLLOWS + others.view(np.int8))
 
     def others(self, w: Weights, at: np.ndarray, ids: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
         """Set the parts of the ids at `at` to those of order 0."""
-        mass, found = w.mass0[at], ids[at]
+        found, mass = ids[at], _WHOLE - w.mass2[at] - w.mass1[at]
         low = np.floor(self.cum0.take(found) * mass / self.cum0[-1])
         begin[at] = _WHOLE - mass + low
         size[at] = np.floor(self.cum0.take(found + 1) * mass / self.cum0[-1]) - low
 
-    def which(self, w: Weights, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The ids whose parts hold the values, those parts' begin and size, and what codes them."""
+    def which(self, w: Weights, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The ids whose parts hold the values, their pairs' numbers (0: by order 0), those parts' begin and size, and what codes them."""
         inner = value - w.mass2
-        by = ((inner >= 0).view(np.int8) + (inner >= w.mass1)) * (value >= w.mass2)
-        count = np.floor(((inner + 1) * w.rest - 1) / np.maximum(w.mass1, 1))
+        guessed, others = inner < 0, inner >= w.mass1
+        others &= ~guessed
+        count = np.floor(((inner + 1) * w.rest - 1) / np.maximum(w.mass1, 1)).astype(np.int64)
         count += w.base + w.own * (count >= w.cut)
-        place = np.minimum(self.cum1.searchsorted(count, side="right") - 1, len(self.pairs) - 1)
-        begin, size = w.followers_part(self, place)
-        ids = self.pairs.take(place) & _LOW16
-        if len(at := np.flatnonzero(by == OTHER)):
-            ids[at] = self.cum0.searchsorted(np.floor(((inner[at] - w.mass1[at] + 1) * self.cum0[-1] - 1) / w.mass0[at]), side="right") - 1
+        pairs = np.where(guessed, w.guess, self.slots.take(count, mode="clip") if len(self.slots) else 0)
+        begin, size = w.followers_part(self.packed.take(pairs))
+        ids = self.follower.take(pairs)
+        if len(at := np.flatnonzero(others)):
+            mass = _WHOLE - w.mass2[at] - w.mass1[at]
+            ids[at] = self.slots0.take((((inner[at] - w.mass1[at] + 1) * self.cum0[-1] - 1) / mass).astype(np.int64), mode="clip")
+            pairs[at] = 0
             self.others(w, at, ids, begin, size)
-        guessed = by == GUESSED
-        begin[guessed], size[guessed], ids[guessed] = 0, w.mass2[guessed], w.guess[guessed]
-        return ids, begin.astype(np.uint64), size.astype(np.uint64), by
-
-    def learn(self, ids: np.ndarray, last: np.ndarray, at2: np.ndarray, entry: np.ndarray, class2: np.ndarray, class1: np.ndarray, by: np.ndarray) -> None:
+        np.copyto(begin, 0, where=guessed)
+        np.copyto(size, w.mass2, where=guessed)
+        return ids, pairs, begin, size, np.where(guessed, GUESSED, FOLLOWS + others.view(np.int8))
+
+    def numbered(self, ids: np.ndarray, last: np.ndarray, pairs: np.ndarray) -> None:
+        """Set the numbers of pairs that are not known (0), new ones where they are."""
+        at = np.flatnonzero(pairs == 0)
+        found, of = np.unique(last[at] << np.uint32(16) | ids[at], return_inverse=True)
+        place = self.pairs.searchsorted(found)
+        new = np.ones(len(found), bool)
+        inside = place < len(self.pairs)
+        new[inside] = self.pairs[place[inside]] != found[inside]
+        numbers = np.empty(len(found), np.int64)
+        numbers[~new] = self.order[place[~new]]
+        numbers[new] = np.arange(len(self.counts), len(self.counts) + new.sum())
+        pairs[at] = numbers[of]
+        self.order = np.insert(self.order, place[new], numbers[new])
+        self.pairs = np.insert(self.pairs, place[new], found[new])
+        self.counts = np.concatenate([self.counts, np.zeros(new.sum(), np.int64)])
+        self.follower = np.concatenate([self.follower, found[new] & _LOW16])
+        self.arrange()
+
+    def learn(self, ids: np.ndarray, last: np.ndarray, pairs: np.ndarray, at2: np.ndarray, guess: np.ndarray, trust: np.ndarray, class2: np.ndarray, class1: np.ndarray, by: np.ndarray) -> None:
         """Take in a stretch: what came where, and what coded it."""
-        self.tried2 += np.bincount(class2, minlength=len(self.tried2))
-        self.held2 += np.bincount(class2[by == GUESSED], minlength=len(self.held2))
-        self.tried1 += np.bincount(class1[by != GUESSED], minlength=len(self.tried1))
-        self.held1 += np.bincount(class1[by == FOLLOWS], minlength=len(self.held1))
-        trust = np.where((entry & _LOW16) == ids, np.minimum((entry >> np.uint32(16)) + np.uint32(1), np.uint32(3)), np.uint32(1))
-        self.table[at2] = ids | trust << np.uint32(16)  # of a context met more than once, the last counts
+        by2 = np.bincount(class2 * 2 + (by == GUESSED), minlength=2 * len(self.tried2)).reshape(-1, 2)
+        by1 = np.bincount(class1 * 3 + by, minlength=3 * len(self.tried1)).reshape(-1, 3)
+        self.tried2 += by2.sum(axis=1)
+        self.held2 += by2[:, 1]
+        self.tried1 += by1[:, FOLLOWS] + by1[:, OTHER]
+        self.held1 += by1[:, FOLLOWS]
+        if self.order is not None:
+            self.numbered(ids, last, pairs)
+        trust = np.where(guess == pairs, np.minimum(trust + 1, TRUST), 1)
+        self.table[at2] = pairs | trust << _TRUST  # of a context met more than once, the last counts
         self.seen += np.bincount(ids, minlength=1 << 16)
-        pairs, counts = np.unique(last << np.uint32(16) | ids, return_counts=True)
-        both, counts = np.concatenate([self.pairs, pairs]), np.concatenate([self.counts, counts])
-        order = np.argsort(both, kind="stable")
-        both = both[order]
-        first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
-        self.pairs, self.counts = both[first], np.add.reduceat(counts[order], first)
+        self.counts += np.bincount(pairs, minlength=len(self.counts))
         # old counts of a context give way where it has very many
-        of = self.pairs >> np.uint32(16)
-        large = np.bincount(of, weights=self.counts, minlength=1 << 16) > 1 << COUNTED1
-        self.counts = np.where(large.take(of), np.floor((self.counts + 1) / 2), self.counts)
+        numbers = np.arange(1, len(self.counts)) if self.order is None else self.order
+        cum = np.concatenate([[0], np.cumsum(self.counts[numbers])])
+        for owner in np.flatnonzero(np.diff(cum.take(self.row)) > 1 << COUNTED1).tolist():
+            of = numbers[self.row[owner] : self.row[owner + 1]]
+            self.counts[of] = (self.counts[of] + 1) // 2
         self.settle()
 
 
@@ -206,6 +251,16 @@ def lanes_of(ids: int) -> int:
     return max(1, min(LANES, ids // STRETCH))
 
 
+def numbered_pairs(last: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs in order, and the number of each one's pair, from 1 on in that order."""
+    packed = np.sort((last.astype(np.int64) << 16 | ids) << 31 | np.arange(len(ids)))
+    pairs = packed >> 31
+    first = np.concatenate([[True], pairs[1:] != pairs[:-1]])
+    numbers = np.empty(len(ids), np.int32)
+    numbers[packed & ((1 << 31) - 1)] = np.cumsum(first, dtype=np.int32)
+    return pairs[first].astype(np.uint32), numbers
+
+
 def encode_block(ids: np.ndarray) -> list[bytes]:
     """The stream of each lane of a block's ids."""
     lanes = lanes_of(len(ids))
@@ -214,41 +269,42 @@ def encode_block(ids: np.ndarray) -> list[bytes]:
     padded[: len(ids)] = ids
     # two empty steps stand before the first
     columns = np.concatenate([np.zeros((2, lanes), np.uint32), padded.reshape(lanes, steps).T])
-    m = Model(len(padded))
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 56, np.uint64)
-    digits = np.zeros((lanes, 2 * steps + 8), np.int32)
-    filled = np.ones(lanes, np.int64)  # the first digit takes a carry alone
+    known, numbers = numbered_pairs(columns[1:-1].ravel(), columns[2:].ravel())
+    m = Model(len(padded), known)
+    # whole numbers below 2**53, held as floats
+    low, span = np.zeros(lanes), np.full(lanes, _SPAN)
+    digits = np.zeros((2 * steps + 8) * lanes, np.int32)
+    at = np.arange(lanes) + lanes  # the first digit takes a carry alone
     for a, b in stretches(steps):
         now, last, before = columns[a + 2 : b + 2].ravel(), columns[a + 1 : b + 1].ravel(), columns[a:b].ravel()
-        learned = []
-        for at in range(0, len(now), lanes):
-            here = slice(at, at + lanes)
+        pairs, learned = numbers[a * lanes : b * lanes], []
+        for k in range(0, len(now), lanes):
+            here = slice(k, k + lanes)
             w = Weights(m, last[here], before[here])
-            begin, size, by = m.parts(w, last[here], now[here])
-            unit = span >> _BITS
+            begin, size, by = m.parts(w, pairs[here], now[here])
+            unit = np.floor(span * (1 / _WHOLE))
             low += unit * begin
             span = unit * size
             while len(small := np.flatnonzero(span < _LEAST)):
                 v = low[small]
-                digits[small, filled[small]] = v >> np.uint64(40)
-                filled[small] += 1
-                low[small] = (v & np.uint64((1 << 40) - 1)) << _16
-                span[small] <<= _16
-            learned.append((w.at2, w.entry, w.class2, w.class1, by))
-        m.learn(now, last, *map(np.concatenate, zip(*learned, strict=True)))
-    lane = np.arange(lanes)
-    for shift in (40, 24, 8):
-        digits[lane, filled] = low >> np.uint64(shift)
-        low &= np.uint64((1 << shift) - 1)
-        filled += 1
-    digits[lane, filled] = low << _8
-    filled += 1
-    for k in range(digits.shape[1] - 1, 0, -1):  # carries, from the last digit up
-        over = digits[:, k] >> 16
-        if over.any():
-            digits[:, k - 1] += over
-            digits[:, k] &= 0xFFFF
-    return [d[1:n].astype("<u2").tobytes() for d, n in zip(digits, filled.tolist(), strict=True)]
+                digit = np.floor(v * (1 / _LEAST))
+                digits[at[small]] = digit
+                at[small] += lanes
+                low[small] = (v - digit * _LEAST) * 65536
+                span[small] *= 65536
+            learned.append((w.at2, w.guess, w.trust, w.class2, w.class1, by))
+        m.learn(now, last, pairs, *map(np.concatenate, zip(*learned, strict=True)))
+    for _ in range(3):
+        digit = np.floor(low * (1 / _LEAST))
+        digits[at] = digit
+        low = (low - digit * _LEAST) * 65536
+        at += lanes
+    filled = at // lanes
+    rows = digits.reshape(-1, lanes)[: filled.max()]
+    for k in range(len(rows) - 1, 0, -1):  # carries, from the last digit up
+        rows[k - 1] += rows[k] >> 16
+    streams = np.ascontiguousarray(rows.astype("<u2").T)
+    return [d[1:n].tobytes() for d, n in zip(streams, filled.tolist(), strict=True)]
 
 
 def decode_block(streams: list[bytes], n: int) -> np.ndarray:
@@ -256,35 +312,28 @@ def decode_block(streams: list[bytes], n: int) -> np.ndarray:
     lanes = len(streams)
     steps = -(-n // lanes)
     width = max(map(len, streams)) // 2 + 8
-    digits = np.zeros((lanes, width), np.uint64)
+    digits = np.zeros((lanes, width), np.uint16)
     for k, stream in enumerate(streams):
         digits[k, : len(stream) // 2] = np.frombuffer(stream, "<u2")
-    flat, at = digits.ravel(), np.arange(lanes) * width + 4
-    # the code holds 56 bits: the fourth digit gives a byte now and keeps a byte for later
-    code = digits[:, 0] << np.uint64(40) | digits[:, 1] << np.uint64(24) | digits[:, 2] << _8 | digits[:, 3] >> _8
-    spare, span = digits[:, 3] & np.uint64(255), np.full(lanes, 1 << 56, np.uint64)
+    flat, at = digits.ravel(), np.arange(lanes) * width + 3
+    code = (digits[:, 0] * 65536.0 + digits[:, 1]) * 65536.0 + digits[:, 2]
+    span = np.full(lanes, _SPAN)
     m, columns = Model(lanes * steps), np.zeros((steps + 2, lanes), np.uint32)
     for a, b in stretches(steps):
         learned = []
         for step in range(a, b):
             w = Weights(m, columns[step + 1], columns[step])
-            unit = span >> _BITS
-            # a quotient of floats is off by one at most
-            value = np.floor(code.astype(np.float64) / unit)
-            over = (code - unit * value.astype(np.uint64)).view(np.int64)
-            value += (over >= unit.view(np.int64)).view(np.int8) - (over < 0).view(np.int8)
+            unit = np.floor(span * (1 / _WHOLE))
             # a damaged stream may ask for more than there is; its checksum tells
-            ids, begin, size, by = m.which(w, np.minimum(value, _WHOLE - 1))
-            code, span = code - unit * begin, unit * np.maximum(size, np.uint64(1))
+            ids, pairs, begin, size, by = m.which(w, np.minimum(np.floor(code / unit), _WHOLE - 1))
+            code, span = np.minimum(code - unit * begin, _SPAN - 1), unit * np.maximum(size, 1)
             while len(small := np.flatnonzero(span < _LEAST)):
                 here = at[small]
                 at[small] = here + 1
-                digit = flat.take(here, mode="clip")
-                code[small] = code[small] << _16 | spare[small] << _8 | digit >> _8
-                spare[small] = digit & np.uint64(255)
-                span[small] <<= _16
+                code[small] = code[small] * 65536 + flat.take(here, mode="clip")
+                span[small] *= 65536
             columns[step + 2] = ids
-            learned.append((w.at2, w.entry, w.class2, w.class1, by))
+            learned.append((pairs, w.at2, w.guess, w.trust, w.class2, w.class1, by))
         m.learn(columns[a + 2 : b + 2].ravel(), columns[a + 1 : b + 1].ravel(), *map(np.concatenate, zip(*learned, strict=True)))
     return columns[2:].T.ravel()[:n].astype(np.uint16)
 
@@ -342,24 +391,39 @@ def read_segments(data: bytes) -> Iterator[tuple[int, list[int | None], np.ndarr
 
 
 class Remembered(dict):
-    """What keys met lately gave, in two generations of at most `most`; make(key) for others."""
+    """What keys met lately gave, in two generations of at most `most`."""
 
-    def __init__(self, make: Callable[[str], bytes], most: int):
-        self.make, self.most, self.older = make, most, {}
+    def __init__(self, most: int):
+        self.most, self.older = most, {}
 
-    def __missing__(self, key: str) -> bytes:
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
+    def put(self, key: str, value: bytes) -> None:
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         self[key] = value
-        return value
 
-
-class Uneven(Exception):
-    """A text that does not fall into words at its single spaces and line feeds."""
+    def all(self, keys: list[str], make: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """What the keys, all different, gave; make(those that are not remembered)."""
+        found = list(map(self.get, keys))
+        lacking = [k for k, x in enumerate(found) if x is None]
+        if lacking:
+            older, new = self.older, []
+            for k in lacking:
+                found[k] = value = older.get(keys[k])
+                if value is None:
+                    new.append(k)
+            for k, value in zip(new, make([keys[k] for k in new]) if new else (), strict=True):
+                found[k] = value
+            for k in lacking:
+                self.put(keys[k], found[k])
+        return found
+
+
+def strings(words: pa.Array, between: str) -> list[str]:
+    """Strings that do not hold the sign `between` as Python's."""
+    if not len(words):
+        return []
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), pa.scalar(between, words.type))[0].as_py().split(between)
 
 
 class Encoder:
@@ -367,8 +431,9 @@ class Encoder:
 
     The library's pre-tokenisation cuts a text into pieces that its model encodes one by one, so a piece is encoded once while it
     is remembered. Where it cuts by WORDWISE, a single space or line feed between other signs always begins a piece, so
-    the words between such are encoded once as well. What may be cut otherwise than by `pattern` goes to the library whole:
-    a text that holds one of its added tokens, and a piece with signs beyond FAMILIAR.
+    the words between such are encoded once as well: Arrow cuts many texts at once, and of their words only different ones
+    are looked up. What may be cut otherwise than by `pattern` goes to the library whole: a text that holds one of its
+    added tokens, and a piece with signs beyond FAMILIAR.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -387,39 +452,114 @@ class Encoder:
         self.direct = pattern == WORDWISE and form["normalizer"] is None and byte_level.items() <= (form["pre_tokenizer"] or {}).items()
         self.tokenize = self.library.model.tokenize
         signs = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        #: How the model writes the bytes 0 to 127.
-        self.marks = {k: signs(chr(k))[0][0] for k in range(128)}
-        self.signs = lambda piece: piece.translate(self.marks) if piece.isascii() else signs(piece)[0][0]
-        self.pieces, self.words = Remembered(self.piece, REMEMBERED), Remembered(self.word, REMEMBERED)
+        #: How the model writes the bytes of signs up to FAMILIAR.
+        self.marks = {byte: mark for k in range(ord(FAMILIAR) + 1) for byte, mark in zip(chr(k).encode(), signs(chr(k))[0][0], strict=True)}
+        self.pieces, self.words = Remembered(REMEMBERED), Remembered(REMEMBERED // 4)
+
+    def model_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The model's ids of pieces without a line feed, whose signs are none beyond FAMILIAR."""
+        ids, sizes, tokenize, of = [], [], self.tokenize, attrgetter("id")
+        for signs in "\n".join(pieces).encode().decode("latin-1").translate(self.marks).split(self.marks[10]):
+            tokens = tokenize(signs)
+            ids.extend(map(of, tokens))
+            sizes.append(2 * len(tokens))
+        packed = array("H", ids).tobytes()
+        return [packed[e - s : e] for e, s in zip(accumulate(sizes), sizes, strict=True)]
+
+    def whole(self, text: str) -> bytes:
+        return array("H", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def new_pieces(self, pieces: list[str]) -> list[bytes]:
+        return [array("H", [t.id for t in self.tokenize(p.encode().decode("latin-1").translate(self.marks))]).tobytes() if self.direct and max(p) <= FAMILIAR else self.whole(p) for p in pieces]
 
-    def piece(self, piece: str) -> bytes:
-        if self.direct and max(piece) <= FAMILIAR:
-            return array("H", [t.id for t in self.tokenize(self.signs(piece))]).tobytes()
-        return array("H", self.library.encode(piece, add_special_tokens=False).ids).tobytes()
+    def by_pieces(self, text: str) -> bytes:
+        pieces = self.cut(text)
+        different = list(dict.fromkeys(pieces))
+        of = dict(zip(different, self.pieces.all(different, self.new_pieces), strict=True))
+        return b"".join(map(of.__getitem__, pieces))
+
+    def word_ids(self, words: pa.Array) -> list[bytes]:
+        """The ids of different words with the space before them, or with the line feed that they begin with; b"" of one that does not stand alone."""
+        # letters, and signs after them that join nothing, are cut as they stand; the space is theirs, a line feed is not
+        feeds = pc.starts_with(words, "\n")
+        bare = pc.if_else(feeds, pc.utf8_slice_codeunits(words, 1), words)
+        stems = pc.utf8_rtrim(bare, CLOSING)
+        plain = pc.and_(pc.utf8_is_alpha(stems), pc.invert(pc.match_substring_regex(stems, UNFAMILIAR)))
+        signs = pc.subtract(pc.binary_length(bare), pc.binary_length(stems)).to_numpy()
+        nothing, space = pa.scalar("", words.type), pa.scalar(" ", words.type)
+        pieces = pc.binary_join_element_wise(pc.if_else(feeds, nothing, space), stems, nothing).filter(plain).dictionary_encode()
+        ids = self.pieces.all(strings(pieces.dictionary, "\n"), self.model_pieces)
+        feeds, plain = feeds.to_numpy(zero_copy_only=False), plain.to_numpy(zero_copy_only=False)
+        found, names = np.full(len(words), b"", object), strings(words, " ")
+        found[plain] = np.array([*ids, b""], object)[:-1].take(pieces.indices.to_numpy())
+        if (at := np.flatnonzero(plain & (signs > 0))).size:
+            tails = [names[k][-n:] for k, n in zip(at.tolist(), signs[at].tolist(), strict=True)]
+            different = list(dict.fromkeys(tails))
+            of = dict(zip(different, self.pieces.all(different, self.model_pieces), strict=True))
+            found[at] += np.fromiter(map(of.__getitem__, tails), object, len(tails))
+        if (at := np.flatnonzero(plain & feeds)).size:
+            begin = self.by_pieces("\n")
+            found[at] = np.fromiter((begin + x for x in found[at].tolist()), object, len(at))
+        at = np.flatnonzero(~plain)
+        found[at] = np.fromiter(self.words.all([names[k] for k in at.tolist()], lambda new: list(map(self.word, new))), object, len(at))
+        return found.tolist()
 
     def word(self, word: str) -> bytes:
-        """The ids of a word with the space before it, or with the line feed that it begins with."""
         bare = word.removeprefix("\n")
         if not bare or not (bare[0] + bare[-1]).isprintable() or bare[0].isspace() or bare[-1].isspace():
-            raise Uneven
+            return b""
         return self.by_pieces(word if bare is not word else " " + word)
 
-    def by_pieces(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.cut(text)))
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [self.encode_one(t) for t in texts]
-
-    def encode_one(self, text: str) -> bytes:
-        if any(x in text for x in self.added):
-            return array("H", self.library.encode(text, add_special_tokens=False).ids).tobytes()
-        if self.direct:
-            first, *words = text.replace("\n", " \n").split(" ")
-            try:
-                return self.by_pieces(first) + b"".join(map(self.words.__getitem__, words))
-            except Uneven:
-                pass
-        return self.by_pieces(text)
+        ids, sizes = self.encode_all(pa.array(texts, pa.string()), b"")
+        ends = np.cumsum(sizes)
+        return [ids[e - s : e].tobytes() for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
+
+    def encode_all(self, texts: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, each text's with `end` behind them, and how many each has."""
+        n = len(texts)
+        added = np.zeros(n, bool)
+        for x in self.added:
+            added |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        if not self.direct:
+            found = [(self.whole if a else self.by_pieces)(t.as_py()) + end for t, a in zip(texts, added.tolist(), strict=True)]
+            return np.frombuffer(b"".join(found), np.uint16), np.fromiter(map(len, found), np.int64, n) // 2
+        # bytes: no offset overflows, as a batch does not either; a word begins at each space, or is a line feed's
+        cut = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " \n"), " ")
+        offsets = cut.offsets.to_numpy().astype(np.int64)
+        coded = cut.flatten().dictionary_encode()
+        words, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        counts = np.diff(offsets)
+        of, firsts = np.repeat(np.arange(n), counts), codes[offsets[:-1]]
+        later = np.ones(len(codes), bool)
+        later[offsets[:-1]] = False
+        met = np.zeros(len(words), bool)
+        met[codes[later & ~added.take(of)]] = True
+        met = np.flatnonzero(met)
+        found = np.full(len(words), b"", object)
+        found[met] = np.fromiter(self.word_ids(words.take(met)), object, len(met))
+        uneven = np.zeros(len(words), bool)
+        uneven[met] = [not x for x in found[met].tolist()]
+        found = found.tolist()
+        apart = added.copy()
+        if uneven.any():
+            apart[of[uneven.take(codes) & later]] = True
+        # what stands for a text's first word: that, or the whole text
+        heads = [(self.whole if a else self.by_pieces)(texts[k].as_py()) if x else self.by_pieces(f) for k, (x, a, f) in enumerate(zip(apart.tolist(), added.tolist(), words.take(firsts).to_pylist(), strict=True))]
+        none = len(words) + n
+        codes[apart.take(of)] = none
+        codes[offsets[:-1]] = np.arange(len(words), none)
+        items = np.full(len(codes) + n, none + 1)
+        items[np.arange(len(codes)) + of] = codes
+        found += [*heads, b"", end]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 2
+        begins = np.cumsum(sizes) - sizes
+        each = sizes.take(items)
+        ends = np.cumsum(each)
+        at = np.repeat(begins.take(items) - (ends - each), each)
+        at += np.arange(len(at))
+        total = ends[offsets[1:] + np.arange(n)] if n else np.zeros(0, np.int64)
+        return np.frombuffer(b"".join(found), np.uint16).take(at), np.diff(total, prepend=0)
 
 
 @lru_cache(maxsize=2)
@@ -446,18 +586,42 @@ def write(df: DataFrame, folder: str, tokenizer: str, pattern: str, end_id: int,
         from pyspark import TaskContext
 
         e, part = encoder(tokenizer, pattern), TaskContext.get().partitionId()
-        idents, ids, size = [], [], 0
+        idents, sizes, ids = [], np.zeros(0, np.int64), np.zeros(0, np.uint16)
+        waiting, volume = [], 0
+
+        def segment(n: int, m: int) -> pa.RecordBatch:
+            """The first n documents, of m ids; the rest is kept."""
+            nonlocal idents, sizes, ids
+            made = write_segment(part, idents[:n], np.split(ids[:m], np.cumsum(sizes[:n])[:-1]))
+            idents, sizes, ids = idents[n:], sizes[n:], ids[m:]
+            return pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["value"])
+
+        def take() -> None:
+            nonlocal idents, sizes, ids, waiting, volume
+            rows = pa.Table.from_batches(waiting).combine_chunks().to_batches() if waiting else []
+            for b in rows:
+                new, counts = e.encode_all(b.column(1), end)
+                idents, sizes, ids = idents + b.column(0).to_pylist(), np.concatenate([sizes, counts]), np.concatenate([ids, new])
+            waiting, volume = [], 0
+
+        def full() -> Iterator[pa.RecordBatch]:
+            """Segments of as many documents as fill a block, one at least."""
+            while len(ids) > BLOCK:
+                ends = np.cumsum(sizes)
+                n = max(1, int(ends.searchsorted(BLOCK, side="right")))
+                yield segment(n, int(ends[n - 1]))
+
         for batch in batches:
             for piece in pieces_of(batch, 1):
-                idents += piece.column(0).to_pylist()
-                new = [np.frombuffer(x + end, "<u2") for x in e.encode(piece.column(1).to_pylist())]
-                ids += new
-                size += sum(map(len, new))
-                if size >= BLOCK:
-                    yield pa.RecordBatch.from_arrays([pa.array([write_segment(part, idents, ids)], pa.binary())], names=["value"])
-                    idents, ids, size = [], [], 0
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array([write_segment(part, idents, ids)], pa.binary())], names=["value"])
+                waiting.append(piece)
+                volume += int(pc.sum(pc.binary_length(piece.column(1))).as_py() or 0)
+                if volume >= CHUNK:
+                    take()
+                    yield from full()
+        take()
+        yield from full()
+        if idents:
+            yield segment(len(idents), len(ids))
 
     # the segments' own last byte is the line feed that the writer puts after a row; Spark's strings carry any bytes
     segments = dealt.mapInArrow(tidied(run), StructType([StructField("value", BinaryType())]))

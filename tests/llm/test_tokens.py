@@ -170,6 +170,17 @@ def test_prediction_beats_order_0_and_a_general_compressor():
     assert ours < 6.6 < min(order0, general)
 
 
+def test_many_texts_at_once_equal_the_library():
+    parts = ["foo", "Foo", "été", "naïve", "\u01c5a", "\u0250b", "日本", "a1", "it's", "x'", "mail@a.b", " ", "  ", "\n", "\n\n", "\x85", "\u00a0", ",", "...", "$$$", '"', "_", "<|endoftext|>", "\0", "😀"]
+    rng, library = random.Random(3), Tokenizer.from_file(IDS)
+    texts = ["", *parts, *(rng.choice(["", " ", "\n"]).join(rng.choice(parts) for _ in range(rng.randint(1, 30))) for _ in range(1500))]
+    e = token_files.Encoder(IDS, P.PATTERN)
+    for _ in range(2):  # the second time from memory
+        ids, sizes = e.encode_all(token_files.pa.array(texts), b"\2\0")
+        want = [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+        assert sizes.tolist() == list(map(len, want)) and ids.tolist() == [x for w in want for x in w]
+
+
 def test_files_stand_by_their_place_not_their_name(spark):
     rows = spark.range(100_001).selectExpr("int(id) AS part", "id AS doc_id", "0L AS start", "id % 3 + 1 AS n_tokens", "0L AS ids_crc32")
     got = {r.doc_id: r.start for r in token_files.placed(rows).filter("doc_id >= 99998").collect()}
