@@ -6,9 +6,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cartulary import tables
-from cartulary.operators import answer, graph, layout, merge, search
+from cartulary.operators import answer, extract, graph, layout, merge, search
 from cartulary.plans import pipelines, state_queries
 from cartulary.plans.fixtures import Fixture
+from cartulary.sources import text
 from tests.conftest import rows
 
 
@@ -75,6 +76,39 @@ def test_pairs_of_chapters_are_made_once_and_not_joined(spark, monkeypatch):
     assert len(want) == len(found) - 2
 
 
+def test_relations_of_a_concept_are_not_repeated_for_each_of_its_chapters(spark):
+    n, m = 150, 40
+    chapters = [f"s{i}" for i in range(n)] + ["far"]
+    nodes = spark.createDataFrame([(x, "chapter") for x in chapters] + [(x, "concept") for x in ["hub", *(f"t{i}" for i in range(m))]], "node_id string, level string")
+    held = [(f"s{i}", "hub", "containsConcept") for i in range(n)] + [("far", f"t{i}", "containsConcept") for i in range(m)]
+    edges = spark.createDataFrame(held + [("hub", f"t{i}", "uses") for i in range(m)] + [("s1", "far", "uses"), ("s2", "far", "cites")], "src string, tgt string, type string")
+    most, found = joined(graph.chapter_edges_in_blocks(nodes, edges, n + 1))
+    assert [r[:3] for r in found] == sorted((f"s{i}", "far", "uses") for i in range(n) if i != 1)
+    assert most <= 2 * (n + m)
+    assert rows(graph.chapter_edges(nodes, edges)) == found
+
+
+def test_spans_meet_the_blocks_of_their_batch_once(spark, monkeypatch):
+    n = 30
+    p = spark.range(8).select(F.lit("d").alias("doc_id"), F.col("id").cast("int").alias("page"), F.array_join(F.array_repeat(F.concat(F.lit("The same words on "), "id"), 4), "\n").alias("text"))
+    at = "span_id string, doc_id string, page_lo int, page_hi int, span string"
+    spans = spark.createDataFrame([(f"s{i:02}", "d", 0, 5, "the same words") for i in range(n)], at)
+    tables_made = []
+    monkeypatch.setattr(extract, "stored", lambda df, label: (tables_made.append(df) or df, label))
+    assert {r[1:4] for r in rows(extract.resolve_anchors(spans, text.lines(p), p))} == {(1, 0, 0)}
+    assert 0 < joined(tables_made[0])[0] <= n
+    # ranges end within a row of pages, or go over two
+    spans = spark.createDataFrame([("a", "d", 3, 8, "words on 7"), ("b", "d", 3, 7, "words on 7"), ("c", "d", 3, 7, "words on"), ("e", "d", 7, 7, "words on 6"), ("f", "d", 0, 8, "words on 9"), ("g", "d", 6, 8, "Words on 6\n")], at)
+    assert [r[:4] for r in rows(extract.resolve_anchors(spans, text.lines(p), p))] == [("a", 1, 7, 0), ("b", 3, 7, -1), ("c", 1, 3, 0), ("e", 3, 6, -1), ("g", 1, 6, 0)]
+
+
+def test_a_response_is_read_once_for_concepts_and_their_entities(spark):
+    responses = spark.createDataFrame([("d", 0, '{"concepts": [{"label": "A", "textSpan": "a", "entities": [{"label": "B"}, {"label": "C", "textSpan": "c"}]}]}')], "doc_id string, batch int, response string")
+    found = extract.concepts_of(responses)
+    assert rows(found.select("ord", "entity_ord", "label", "level").fillna(-1)) == [(0, -1, "A", "concept"), (0, 1, "C", "entity")]
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_pages_are_cut_without_a_shuffle_unless_ids_repeat(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a\nb\r\nc\rd\n\n"), (2, None), (3, "x\n" * 8)], "doc_id bigint, text string")
     docs.write.parquet(str(tmp_path / "once" / "documents.parquet"))
